@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.functions.text import let
+
 #: Folder of the public vocabulary files.
 FOLDER = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -24,7 +26,7 @@ _S = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205
 #: The tokenizer's pattern. Fixed value.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: The maps' buckets, and the bounds of the map of frequent words: this many words of at most so many characters.
-BUCKETS, HOT_WORDS, HOT_CHARS = 1 << 16, 1 << 15, 64
+BUCKETS, HOT_WORDS, HOT_CHARS = 1 << 15, 1 << 15, 64
 _NONE = 2**31 - 1
 
 
@@ -72,12 +74,17 @@ class Tokenizer:
     def words(self, text: Column) -> Column:
         return F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
 
-    def fold(self, word: Column) -> Column:
+    def bound(self, body) -> Column:
+        """``body(ranks, hot)`` with each literal map standing in the plan once, however often the body uses it."""
+        if self.hot is None:
+            return let(self.ranks, lambda r: body(r, None))
+        return let(self.ranks, lambda r: let(self.hot, lambda h: body(r, h)))
+
+    def fold(self, word: Column, ranks: Column) -> Column:
         """The ids of one word: merges of least rank first, the leftmost of equals, until none is left."""
-        one = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  (binds x once)
 
         def merged(h: Column) -> Column:
-            rank = lambda a, b: F.coalesce(look_up(self.ranks, h.substr(2 * a + 1, 2 * (b - a))), F.lit(_NONE))
+            rank = lambda a, b: F.coalesce(look_up(ranks, h.substr(2 * a + 1, 2 * (b - a))), F.lit(_NONE))
             n = (F.length(h) / 2).cast("int")
             at = F.sequence(F.lit(0), n)
             # starts: where each token begins, and the end; pairs: rank of each token with its right neighbour
@@ -96,24 +103,24 @@ class Tokenizer:
                         F.concat(F.slice(pairs, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, rest(pairs, i + 2)).alias("pairs"),
                     )
 
-                return one(F.array_min(pairs), lambda m: F.when(m.isNull() | (m == _NONE), s).otherwise(one(F.array_position(pairs, m).cast("int"), merge)))
+                return let(F.array_min(pairs), lambda m: F.when(m.isNull() | (m == _NONE), s).otherwise(let(F.array_position(pairs, m).cast("int"), merge)))
 
-            ids = lambda s: F.transform(F.slice(s["starts"], F.lit(1), F.size(s["starts"]) - 1), lambda a, k: look_up(self.ranks, h.substr(2 * a + 1, 2 * (F.get(s["starts"], k + 1) - a))))
-            whole = look_up(self.ranks, h)
+            ids = lambda s: F.transform(F.slice(s["starts"], F.lit(1), F.size(s["starts"]) - 1), lambda a, k: look_up(ranks, h.substr(2 * a + 1, 2 * (F.get(s["starts"], k + 1) - a))))
+            whole = look_up(ranks, h)
             return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.aggregate(F.sequence(F.lit(2), n), begin, step, ids))
 
-        return one(F.hex(F.encode(word, "utf-8")), merged)
+        return let(F.hex(F.encode(word, "utf-8")), merged)
 
-    def word_ids(self, word: Column) -> Column:
-        return self.fold(word) if self.hot is None else F.coalesce(look_up(self.hot, word, word_bucket(word)), self.fold(word))
+    def word_ids(self, word: Column, ranks: Column, hot: Column | None) -> Column:
+        return self.fold(word, ranks) if hot is None else F.coalesce(look_up(hot, word, word_bucket(word)), self.fold(word, ranks))
 
     def encode(self, text: Column) -> Column:
         """The list of ids of a text; an empty list for '' and for NULL."""
-        return F.flatten(F.transform(self.words(text), self.word_ids))
+        return self.bound(lambda r, h: F.flatten(F.transform(self.words(text), lambda w: self.word_ids(w, r, h))))
 
     def length(self, text: Column) -> Column:
         """The number of ids of a text; 0 for '' and for NULL."""
-        return F.aggregate(self.words(text), F.lit(0), lambda n, w: n + F.size(self.word_ids(w)))
+        return self.bound(lambda r, h: F.aggregate(self.words(text), F.lit(0), lambda n, w: n + F.size(self.word_ids(w, r, h))))
 
     def fitted(self, texts: DataFrame, column: str, hot_words: int = HOT_WORDS) -> Tokenizer:
         """The same tokenizer with a map of the corpus' most frequent words, at most ``hot_words`` of them.
@@ -123,7 +130,7 @@ class Tokenizer:
         """
         counts = texts.select(F.explode(self.words(F.col(column))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
         top = counts.where(F.length("word") <= HOT_CHARS).orderBy(F.desc("n")).limit(hot_words)
-        rows = top.select(word_bucket(F.col("word")).alias("b"), "word", self.fold(F.col("word")).alias("ids")).collect()
+        rows = top.select(word_bucket(F.col("word")).alias("b"), "word", let(self.ranks, lambda r: self.fold(F.col("word"), r)).alias("ids")).collect()
         return Tokenizer(self.ranks, literal_map([(r["b"], r["word"], r["ids"]) for r in rows], "array<int>"))
 
 
