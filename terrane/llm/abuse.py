@@ -15,34 +15,46 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.functions.text import let
+
 #: Bound of the labelled sample that is fitted: documents per class, chosen by a hash of their id.
-TOXIC_DOCS, CLEAN_DOCS = 2500, 2500
-#: CLEAN_SHARE: share of clean passages that a kept passage exceeds.
-ROUNDS, FOLDS, DISCOUNT, PRIOR_TOKENS, CLEAN_SHARE = 3, 3, 0.75, 2.0, 0.999
+TOXIC_DOCS, CLEAN_DOCS = 1500, 2500
+ROUNDS, FOLDS, DISCOUNT, PRIOR_TOKENS = 3, 3, 0.75, 3.0
 #: Verdict that means no such content. Fixed value.
 CLEAN = "clean"
 _ZERO_WIDTH = r"[\x{00AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]"
 _SPACED = r"(?<![\p{L}\p{N}])\p{L}(?:[ .*_\-]\p{L}){3,}(?![\p{L}\p{N}])"
+_APART = r"(?<![\p{L}\p{N}])(\p{L})[ .*_\-](?=\p{L}(?![\p{L}\p{N}]))"
+_LEET = r"\p{L}[0134578]{1,2}\p{L}"
+#: Signs of a disguise; texts without any skip the replacements.
+_DISGUISE = rf"{_ZERO_WIDTH}|[\x{{0400}}-\x{{052F}}]|[ .*_\-]\p{{L}}[ .*_\-]\p{{L}}[ .*_\-]\p{{L}}(?![\p{{L}}\p{{N}}])|[a-z][0134578]{{1,2}}[a-z]|([a-z\x{{C0}}-\x{{24F}}])\1\1"
 #: Letters of other scripts that look like Latin ones. Fixed values.
 _LOOK, _LIKE = "авсеԁһіјкӏмопрѕтухѵԝ", "abcedhijklmonpstyxvw"
-_KANA = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
-#: A passage's end, a character of a script without spaces, or a word (which may hide letters behind marks).
-_TOKEN = rf"[.!?;:。！？；\n\t|]+|  +|[{_KANA}]|[\p{{L}}&&[^{_KANA}]](?:[\p{{L}}\p{{M}}\p{{N}}'*@$]*[\p{{L}}\p{{M}}\p{{N}}])?"
+_ENDS = ".!?;:\n\t|。！？；"
+_LATIN = r"a-z\x{C0}-\x{24F}"
+_KANA = r"\x{3040}-\x{30FF}\x{3400}-\x{9FFF}"
+#: A word (which may hide letters behind marks), a passage's end, a character of a script without spaces, other words.
+_TOKEN = rf"[{_LATIN}][0-9{_LATIN}'*@$]*+|[.!?;:。！？；\n\t|]++|  ++|[{_KANA}]|[\p{{L}}&&[^{_KANA}]]++"
 _END = 0  # hash of a passage's end
 
 
 def plain(text: Column) -> Column:
     """Lower case, without invisible characters, look-alike letters, letters set apart and letters drawn out."""
-    t = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), _ZERO_WIDTH, ""))
-    t = F.when(t.rlike(r"[\x{0400}-\x{052F}]"), F.translate(t, _LOOK, _LIKE)).otherwise(t)
-    t = F.when(t.rlike(_SPACED), F.regexp_replace(F.regexp_replace(t, r"(?<![\p{L}\p{N}])(\p{L})[ .*_\-](?=\p{L}(?![\p{L}\p{N}]))", "$1"), "  +", " ")).otherwise(t)
-    return F.regexp_replace(t, r"(\p{L})\1{2,}", "$1")
+
+    def bare(t: Column) -> Column:
+        t = F.translate(F.regexp_replace(t, _ZERO_WIDTH, ""), _LOOK, _LIKE)
+        t = let(t, lambda u: F.when(u.rlike(_SPACED), F.regexp_replace(F.regexp_replace(u, _APART, "$1"), "  +", " ")).otherwise(u))
+        t = F.array_join(F.transform(F.split(t, " "), lambda w: F.when(w.rlike(_LEET), F.translate(w, "0134578", "oieastb")).otherwise(w)), " ")
+        return F.regexp_replace(t, r"(\p{L})\1{2,}", "$1")
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda t: F.when(t.rlike(_DISGUISE), bare(t)).otherwise(t))
 
 
 def tokens(text: Column) -> Column:
     """Hashes of a text's tokens, 0 standing for the end of a passage; empty for NULL and ''."""
+    ends = [ord(c) for c in _ENDS + " "]
     words = F.regexp_extract_all(plain(text), F.lit(_TOKEN), F.lit(0))
-    return F.transform(words, lambda w: F.when(F.ascii(w).isin(*(ord(c) for c in ".!?;:\n\t| 。！？；")), F.lit(_END).cast("long")).otherwise(F.xxhash64(w)))
+    return F.transform(words, lambda w: F.when(F.ascii(w).isin(ends), F.lit(_END).cast("long")).otherwise(F.xxhash64(w)))
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -126,12 +138,26 @@ class Model:
     toxic: KneserNey
     ordinary: KneserNey
     threshold: float = 0.0
-
-    def ratios(self, g: Grams) -> np.ndarray:
-        """Log-likelihood ratio of each token; equal trigrams are looked up once."""
-        _, at, inv = np.unique(_mix(g.prev2, g.word), return_index=True, return_inverse=True)
-        w, a, b = g.word[at], g.prev[at], g.prev2[at]
-        return (self.toxic.log_p(w, a, b) - self.ordinary.log_p(w, a, b))[inv]
+    held_out: tuple | None = None  # (held-out score, label) of each fitted document
+
+    def ratios(self, g: Grams, slots: int = 1 << 21) -> np.ndarray:
+        """Log-likelihood ratio of each token. Trigrams already met are taken from a table of fixed size, in which a
+        later trigram may replace an earlier one; the others are looked up in the models once each."""
+        gram = _mix(g.prev2, g.word)
+        keys, values = self.__dict__.setdefault("_met", (np.zeros(slots, np.int64), np.zeros(slots)))
+        at = gram & (slots - 1)
+        out, new = values[at], np.flatnonzero(keys[at] != gram)
+        if len(new):
+            _, first, inv = np.unique(gram[new], return_index=True, return_inverse=True)
+            i = new[first]
+            r = self.toxic.log_p(g.word[i], g.prev[i], g.prev2[i]) - self.ordinary.log_p(g.word[i], g.prev[i], g.prev2[i])
+            out[new] = r[inv]
+            slot = at[i]
+            keys[slot], values[slot] = gram[i], r
+        return out
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("_met", "held_out")}
 
     def passages(self, g: Grams) -> tuple[np.ndarray, np.ndarray]:
         """(first token of each passage, its length-normalised score). A passage shorter than a few tokens is drawn
@@ -150,23 +176,26 @@ def _score_docs(model: Model, g: Grams, doc: np.ndarray, n_docs: int) -> np.ndar
     return out
 
 
-def _threshold(scores: np.ndarray, toxic: np.ndarray) -> float:
-    """The cut with the highest F1; midway between neighbours."""
-    order = np.argsort(-scores)
-    hit = np.cumsum(toxic[order])
-    f1 = 2 * hit / (np.arange(1, len(order) + 1) + max(1, toxic.sum()))
-    i = int(np.argmax(f1))
-    s = scores[order]
-    return float((s[i] + s[i + 1]) / 2 if i + 1 < len(s) and np.isfinite(s[i + 1]) else s[i])
+def _threshold(scores: np.ndarray, toxic: np.ndarray, slack: float = 0.97) -> float:
+    """A cut in the middle of the widest gap between scores, among the cuts whose F1 is within ``slack`` of the best:
+    reviewers err, so the labels alone leave a wide range of cuts nearly equal."""
+    order = np.argsort(-scores, kind="stable")
+    s, hit = scores[order], np.cumsum(toxic[order])
+    f1 = 2 * hit / (np.arange(1, len(s) + 1) + max(1, toxic.sum()))
+    gap = np.where(f1[:-1] >= slack * f1.max(), s[:-1] - s[1:], -1.0)
+    if not len(gap) or gap.max() < 0:
+        return float(s[int(np.argmax(f1))]) - 1e-9
+    i = int(np.argmax(gap))
+    return float((s[i] + s[i + 1]) / 2)
 
 
 def fit(flat: list[np.ndarray], toxic: np.ndarray, folds: int = FOLDS, rounds: int = ROUNDS) -> Model:
     """Fit on documents given as arrays of token hashes, at least one of either class.
 
     Documents are split into folds, and a passage is only ever judged by models that have not seen its document, so
-    that no passage is kept for being remembered. A passage of a toxic document is kept when it exceeds nearly all
-    passages of clean documents and half its document's best score; a document without one is taken as misjudged.
-    The document threshold is set on the last round's held-out scores.
+    that none is kept for being remembered. Each round sets the threshold with the highest F1 over the held-out
+    documents; passages of toxic documents above it make the next toxic model, passages of clean documents above it
+    (reviewers err) leave the ordinary one.
     """
     lengths = np.array([len(x) for x in flat], dtype=int)
     all_ = np.concatenate([*flat, np.zeros(0, np.int64)]).astype(np.int64)
@@ -180,32 +209,28 @@ def fit(flat: list[np.ndarray], toxic: np.ndarray, folds: int = FOLDS, rounds: i
         fold[at] = np.arange(len(at)) % folds
     bad = toxic[doc]
     kn = lambda mask: KneserNey(g.part(np.flatnonzero(mask)), shared, total)
-    chosen, held = bad, np.full(len(flat), -np.inf)
+    chosen, plain_ = bad, ~bad
+    held = np.full(len(flat), -np.inf)
+    threshold = 0.0
     if min(toxic.sum(), (~toxic).sum()) >= folds:
         outs = [np.flatnonzero(fold[doc] == k) for k in range(folds)]
-        plain_models = [kn(~bad & (fold[doc] != k)) for k in range(folds)]
+        parts = [(g.part(out), doc[out]) for out in outs]
         for _ in range(rounds):
-            kept = np.zeros(len(doc), bool)
             held[:] = -np.inf
-            for k, out in enumerate(outs):
-                m = Model(kn(chosen & (fold[doc] != k)), plain_models[k])
-                part, d = g.part(out), doc[out]
-                start, score = m.passages(part)
-                if not len(start):
-                    continue
+            judged = []
+            for k, (part, d) in enumerate(parts):
+                start, score = Model(kn(chosen & (fold[doc] != k)), kn(plain_ & (fold[doc] != k))).passages(part)
                 np.maximum.at(held, d[start], score)
-                clean = ~toxic[d[start]]
-                cut = max(0.0, np.quantile(score[clean], CLEAN_SHARE)) if clean.any() else 0.0
-                pick = ~clean & (score > cut) & (score >= 0.5 * held[d[start]])
-                kept[out] = np.repeat(pick, np.diff(np.r_[start, len(out)]))
-            if not kept.any():
+                judged.append((start, score))
+            seen = np.isfinite(held)
+            threshold = _threshold(held[seen], toxic[seen])
+            over = np.zeros(len(doc), bool)
+            for out, (start, score) in zip(outs, judged):
+                over[out] = np.repeat(score > threshold, np.diff(np.r_[start, len(out)]) if len(start) else [])
+            if not (over & bad).any():
                 break
-            chosen = kept
-    model = Model(kn(chosen), kn(~bad))
-    held_out = np.isfinite(held)
-    model.threshold = _threshold(held[held_out], toxic[held_out]) if toxic[held_out].any() else 0.0
-    model.held_out = (held, toxic)
-    return model
+            chosen, plain_ = over & bad, ~over & ~bad
+    return Model(kn(chosen), kn(plain_), threshold, held_out=(held, toxic))
 
 
 def labels(reviews: DataFrame) -> DataFrame:
