@@ -176,7 +176,7 @@ def _score_docs(model: Model, g: Grams, doc: np.ndarray, n_docs: int) -> np.ndar
     return out
 
 
-def _threshold(scores: np.ndarray, toxic: np.ndarray, slack: float = 0.97) -> float:
+def _threshold(scores: np.ndarray, toxic: np.ndarray, slack: float = 0.9) -> float:
     """A cut in the middle of the widest gap between scores, among the cuts whose F1 is within ``slack`` of the best:
     reviewers err, so the labels alone leave a wide range of cuts nearly equal."""
     order = np.argsort(-scores, kind="stable")
@@ -253,19 +253,19 @@ def train(docs: DataFrame, reviews: DataFrame, toxic_docs: int = TOXIC_DOCS, cle
     return fit(flat, toxic)
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score, toxic) of every row: the score of its most toxic passage, -Infinity for a text without words
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: list[str] = ()) -> DataFrame:
+    """(key, carried columns, score, toxic) of every row: the score of its most toxic passage, -Infinity for a text without words
     (NULL, empty, blank). Whole texts are read, in one pass without a shuffle; repeated rows stay."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample that was fitted
-    schema = docs.select(key).schema.add("score", "double").add("toxic", "boolean")
+    schema = docs.select(key, *carry).schema.add("score", "double").add("toxic", "boolean")
 
     def run(batches):
         import pyarrow as pa
 
         m = shared.value
         for b in batches:
-            ts = b.column(1)
+            ts = b.column(b.num_columns - 1)
             flat = ts.values.to_numpy(zero_copy_only=False)
             off = ts.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
             flat, off = flat[off[0] : off[-1]], off - off[0]
@@ -273,6 +273,6 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             first = np.zeros(len(flat), bool)
             first[off[:-1][np.diff(off) > 0]] = True
             out = _score_docs(m, Grams.of(flat, first), doc_of[flat != _END], len(ts)) if len(flat) else np.full(len(ts), -np.inf)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out), pa.array(out > m.threshold)], names=[key, "score", "toxic"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out), pa.array(out > m.threshold)], names=[key, *carry, "score", "toxic"])
 
-    return docs.select(key, tokens(F.col(text)).alias("t")).mapInArrow(run, schema)
+    return docs.select(key, *carry, tokens(F.col(text)).alias("t")).mapInArrow(run, schema)

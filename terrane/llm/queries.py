@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import packing, tokenizer
+from terrane.llm import abuse, packing, tokenizer
 from terrane.sources.tables import table
 
 C = F.col
@@ -21,5 +21,26 @@ def p9_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(docs, "doc_id", t.length(C("text")))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_pack)}
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return abuse.score(docs, abuse.train(docs, table(spark, d, "content_reviews")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where("toxic").select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, found ones and their share per source."""
+    docs = table(spark, d, "documents")
+    model = abuse.train(docs, table(spark, d, "content_reviews"))
+    by = abuse.score(docs, model, carry=["source"]).groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(C("toxic").cast("long")).alias("n_found"))
+    return by.withColumn("rate", C("n_found") / C("n_docs"))
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p9_pack, p10_found, p10_scores, p10_rates)}
 SQL: dict[str, str] = {}
