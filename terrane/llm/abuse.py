@@ -12,13 +12,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.text import let
 
 #: Bound of the labelled sample that is fitted: documents per class, chosen by a hash of their id.
-TOXIC_DOCS, CLEAN_DOCS = 1500, 2500
+TOXIC_DOCS, CLEAN_DOCS = 1200, 1800
+#: Documents scored at a time.
+BATCH = 500
 ROUNDS, FOLDS, DISCOUNT, PRIOR_TOKENS = 3, 3, 0.75, 3.0
 #: Verdict that means no such content. Fixed value.
 CLEAN = "clean"
@@ -26,8 +29,10 @@ _ZERO_WIDTH = r"[\x{00AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]"
 _SPACED = r"(?<![\p{L}\p{N}])\p{L}(?:[ .*_\-]\p{L}){3,}(?![\p{L}\p{N}])"
 _APART = r"(?<![\p{L}\p{N}])(\p{L})[ .*_\-](?=\p{L}(?![\p{L}\p{N}]))"
 _LEET = r"\p{L}[0134578]{1,2}\p{L}"
-#: Signs of a disguise; texts without any skip the replacements.
-_DISGUISE = rf"{_ZERO_WIDTH}|[\x{{0400}}-\x{{052F}}]|[ .*_\-]\p{{L}}[ .*_\-]\p{{L}}[ .*_\-]\p{{L}}(?![\p{{L}}\p{{N}}])|[a-z][0134578]{{1,2}}[a-z]|([a-z\x{{C0}}-\x{{24F}}])\1\1"
+_LOOKALIKE = r"[\x{0400}-\x{052F}]"
+#: Cheap signs of letters set apart and of digits for letters, tried on every text before the replacements.
+_SET_APART = r"(?<=[ .*_\-]\p{L})[ .*_\-]\p{L}[ .*_\-]\p{L}(?![\p{L}\p{N}])"
+_DIGITS = r"(?<=[a-z])[0134578]{1,2}[a-z]"
 #: Letters of other scripts that look like Latin ones. Fixed values.
 _LOOK, _LIKE = "авсеԁһіјкӏмопрѕтухѵԝ", "abcedhijklmonpstyxvw"
 _ENDS = ".!?;:\n\t|。！？；"
@@ -39,15 +44,19 @@ _END = 0  # hash of a passage's end
 
 
 def plain(text: Column) -> Column:
-    """Lower case, without invisible characters, look-alike letters, letters set apart and letters drawn out."""
-
-    def bare(t: Column) -> Column:
-        t = F.translate(F.regexp_replace(t, _ZERO_WIDTH, ""), _LOOK, _LIKE)
-        t = let(t, lambda u: F.when(u.rlike(_SPACED), F.regexp_replace(F.regexp_replace(u, _APART, "$1"), "  +", " ")).otherwise(u))
-        t = F.array_join(F.transform(F.split(t, " "), lambda w: F.when(w.rlike(_LEET), F.translate(w, "0134578", "oieastb")).otherwise(w)), " ")
-        return F.regexp_replace(t, r"(\p{L})\1{2,}", "$1")
-
-    return let(F.lower(F.coalesce(text, F.lit(""))), lambda t: F.when(t.rlike(_DISGUISE), bare(t)).otherwise(t))
+    """Lower case, without invisible characters, look-alike letters, letters set apart and digits for letters. Each
+    replacement is tried only on texts that show its sign."""
+    steps = [
+        (_ZERO_WIDTH, lambda t: F.regexp_replace(t, _ZERO_WIDTH, "")),
+        (_LOOKALIKE, lambda t: F.translate(t, _LOOK, _LIKE)),
+        (_SET_APART, lambda t: F.when(t.rlike(_SPACED), F.regexp_replace(F.regexp_replace(t, _APART, "$1"), "  +", " ")).otherwise(t)),
+        (_DIGITS, lambda t: F.array_join(F.transform(F.split(t, " "), lambda w: F.when(w.rlike(_LEET), F.translate(w, "0134578", "oieastb")).otherwise(w)), " ")),
+    ]
+    out = F.lower(F.coalesce(text, F.lit("")))
+    guarded = lambda sign, change: lambda t: F.when(t.rlike(sign), change(t)).otherwise(t)
+    for sign, change in steps:
+        out = let(out, guarded(sign, change))
+    return out
 
 
 def tokens(text: Column) -> Column:
@@ -257,14 +266,14 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """(key, carried columns, score, toxic) of every row: the score of its most toxic passage, -Infinity for a text without words
     (NULL, empty, blank). Whole texts are read, in one pass without a shuffle; repeated rows stay."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by the sample that was fitted
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(model))  # bounded by the sample that was fitted
     schema = docs.select(key, *carry).schema.add("score", "double").add("toxic", "boolean")
 
     def run(batches):
         import pyarrow as pa
 
-        m = shared.value
-        for b in batches:
+        m = cloudpickle.loads(shared.value)
+        for b in (whole.slice(i, BATCH) for whole in batches for i in range(0, whole.num_rows, BATCH)):
             ts = b.column(b.num_columns - 1)
             flat = ts.values.to_numpy(zero_copy_only=False)
             off = ts.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
