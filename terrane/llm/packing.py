@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from terrane.session import cut
 
 CAPACITY = 2048
-#: Search effort: containers shapes tried in all dives together, and completions kept per shape.
-NODES, WIDTH = 4_000, 3
+#: Search effort: nodes of the search per distinct size, and completions tried per node.
+NODES_PER_SIZE, WIDTH = 2.5, 3
 #: Parts into which the documents of one size are split for ranking.
 SALTS = 32
 
@@ -73,18 +73,23 @@ def _fits(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return True
 
 
-def completions(counts: dict[int, int], room: int, width: int = WIDTH) -> Iterator[tuple[int, ...]]:
-    """Undominated fillings of ``room`` from the items left, by least waste, then with the largest items first."""
-    sizes = [s for s in sorted(counts, reverse=True) if s <= room and counts[s]]
+def completions(counts: dict[int, int], room: int, taken: int = 0, width: int = WIDTH) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of ``room`` from the items left (less one of size ``taken``), by least waste, then with
+    the largest items first; at most ``width``. Found one at a time, as the search asks for them."""
+    left = lambda s: counts.get(s, 0) - (s == taken)
+    if room > 0 and left(room) > 0:  # a single item without waste dominates every other filling
+        yield (room,)
+        return
+    sizes = [s for s in sorted(counts, reverse=True) if s <= room and left(s) > 0]
     if not sizes:
         yield ()
         return
     mask = (1 << (room + 1)) - 1
     reach = [1] * (len(sizes) + 1)  # reach[i]: sums that sizes[i:] can make, as a bit set
     for i in range(len(sizes) - 1, -1, -1):
-        bits, s, n = reach[i + 1], sizes[i], counts[sizes[i]]
+        bits, s, n = reach[i + 1], sizes[i], min(left(sizes[i]), room // sizes[i])
         step = 1
-        while n > 0 and s * step <= room:
+        while n > 0:
             take = min(step, n)
             bits |= (bits << (s * take)) & mask
             n, step = n - take, step * 2
@@ -93,9 +98,8 @@ def completions(counts: dict[int, int], room: int, width: int = WIDTH) -> Iterat
     total = reach[0].bit_length() - 1
     while len(found) < width and total >= 0:
         if reach[0] >> total & 1:
-            stack = [(0, total, ())]
-            tries = 0
-            while stack and len(found) < width and tries < 200:
+            stack, tries = [(0, total, ())], 0
+            while stack and len(found) < width and tries < 50:
                 i, rest, chosen = stack.pop()
                 tries += 1
                 if rest == 0:
@@ -104,64 +108,73 @@ def completions(counts: dict[int, int], room: int, width: int = WIDTH) -> Iterat
                         yield chosen
                     continue
                 later = []
-                while i < len(sizes):
+                while i < len(sizes) and len(later) < width:
                     s = sizes[i]
-                    top = min(counts[s], rest // s) if s <= rest else 0
-                    for k in range(top, 0, -1):
-                        if reach[i + 1] >> (rest - k * s) & 1:
-                            later.append((i + 1, rest - k * s, chosen + (s,) * k))
-                            break
-                    if len(later) >= width:
-                        break
+                    if s <= rest:
+                        for k in range(min(left(s), rest // s), 0, -1):
+                            if reach[i + 1] >> (rest - k * s) & 1:
+                                later.append((i + 1, rest - k * s, chosen + (s,) * k))
+                                break
                     i += 1
                 stack.extend(reversed(later))
         total -= 1
-    if not found:
-        yield ()
 
 
-def plan(counts: dict[int, int], cap: int = CAPACITY, nodes: int = NODES, width: int = WIDTH) -> Plan:
+def plan(counts: dict[int, int], cap: int = CAPACITY, nodes: int | None = None, width: int = WIDTH) -> Plan:
     """Shapes of containers and how often each is used, for all items of a histogram {size: number}, sizes 1..cap.
 
     Depth-first branch and bound: at each node the largest size left is completed in up to ``width`` undominated
-    ways. A branch ends when its waste exceeds what an improvement on the incumbent could afford. The search stops at
-    the lower bound or after ``nodes`` nodes; the incumbent (at first best-fit decreasing) is then the result.
+    ways, each used as often as the counts allow. A branch ends when its waste exceeds what an improvement on the
+    incumbent could afford. The search stops at the lower bound or after ``nodes`` nodes; the incumbent (at first
+    best-fit decreasing) is then the result.
     """
-    counts = {s: n for s, n in counts.items() if n}
-    if not counts:
+    left = {s: n for s, n in counts.items() if n}
+    if not left:
         return []
-    least, volume = lower_bound(counts, cap), sum(s * n for s, n in counts.items())
-    best = best_fit(counts, cap)
+    nodes = int(NODES_PER_SIZE * len(left)) + 500 if nodes is None else nodes
+    least, volume = lower_bound(left, cap), sum(s * n for s, n in left.items())
+    best = best_fit(left, cap)
     best_n = sum(n for _, n in best)
-    stack: list[tuple[dict[int, int], int, int, tuple | None]] = [(counts, 0, 0, None)]  # left, containers, waste, linked shapes
-    while stack and best_n > least and nodes > 0:
-        left, used, waste, shapes = stack.pop()
+    used = waste = 0
+    frames: list[list] = []  # [largest size, its completions still to try, (shape, times) in force or None]
+
+    def change(shape: tuple[int, ...], times: int) -> None:
+        for s in set(shape):
+            n = left.get(s, 0) + times * shape.count(s)
+            if n:
+                left[s] = n
+            else:
+                del left[s]
+
+    def opened() -> list:
+        top = max(left)
+        return [top, completions(left, cap - top, top, width), None]
+
+    frames.append(opened())
+    while frames and best_n > least and nodes > 0:
+        frame = frames[-1]
         nodes -= 1
-        if not left:
-            if used < best_n:
-                best, best_n = [], used
-                while shapes:
-                    best.append(shapes[0])
-                    shapes = shapes[1]
+        if frame[2]:
+            shape, times = frame[2]
+            change(shape, times)
+            used, waste, frame[2] = used - times, waste - (cap - sum(shape)) * times, None
+        filling = next(frame[1], None)
+        if filling is None:
+            frames.pop()
             continue
-        top = max(left)
-        rest = dict(left)
-        rest[top] -= 1
-        if not rest[top]:
-            del rest[top]
-        branches = []
-        for filling in completions(rest, cap - top, width if len(stack) < 400 else 1):
-            shape = (top, *filling)
-            times = min(left[s] // shape.count(s) for s in set(shape))
-            lost = waste + (cap - sum(shape)) * times
-            if lost > (best_n - 1) * cap - volume:
-                fits = ((best_n - 1) * cap - volume - waste) // max(1, cap - sum(shape))
-                if fits < 1 or len(filling) == 0:
-                    continue
-                times, lost = min(times, fits), waste + (cap - sum(shape)) * min(times, fits)
-            after = {s: n - times * shape.count(s) if s in shape else n for s, n in left.items()}
-            branches.append(({s: n for s, n in after.items() if n}, used + times, lost, ((shape, times), shapes)))
-        stack.extend(reversed(branches))
+        shape = (frame[0], *filling)
+        times = min(left[s] // shape.count(s) for s in set(shape))
+        loss, spare = cap - sum(shape), (best_n - 1) * cap - volume - waste
+        if loss * times > spare:
+            times = spare // loss
+            if times < 1:
+                continue
+        change(shape, -times)
+        used, waste, frame[2] = used + times, waste + loss * times, (shape, times)
+        if left:
+            frames.append(opened())
+        elif used < best_n:
+            best, best_n = [f[2] for f in frames], used
     return best
 
 
