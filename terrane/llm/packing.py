@@ -206,12 +206,12 @@ def pack(items: DataFrame, key: str, size: Column, capacity: int = CAPACITY, sal
     whole, rest = F.floor(F.col("size") / capacity), F.col("size") % capacity
     rests = sized.where(rest > 0).select(key, whole.cast("int").alias("piece"), rest.cast("int").alias("size")).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
     counts = rests.groupBy("size", "_salt").agg(F.count("*").alias("n")).collect()  # at most capacity * salts rows
-    shapes = plan({s: sum(r["n"] for r in counts if r["size"] == s) for s in {r["size"] for r in counts}}, capacity)
-    used = sum(n for _, n in shapes)
     first, seen = [], {}
     for r in sorted(counts, key=lambda r: (r["size"], r["_salt"])):
         first.append((r["size"], r["_salt"], seen.get(r["size"], 0)))
         seen[r["size"]] = seen.get(r["size"], 0) + r["n"]
+    shapes = plan(seen, capacity)
+    used = sum(n for _, n in shapes)
     starts = spark.createDataFrame(first, "size int, _salt long, _first long")
     places = spark.createDataFrame(slots(shapes), "size int, _lo long, _hi long, _base long, _n long, _offset long")
     ranked = rests.withColumn("_r", F.row_number().over(Window.partitionBy("size", "_salt").orderBy(key, "piece")) - 1)
