@@ -1,10 +1,11 @@
 """Parent-child links to full hierarchies by tree contraction.
 
 Rounds alternate two steps on all nodes at once. Rake: every node without children is removed. Compress: in chains
-of nodes with a single remaining child, an independent set (by a coin per node and round) is spliced out. Both record
-what they removed, so the number of rounds is logarithmic whatever the depth. A ring of links shrinks to a node that
-is its own parent and can never be raked: such a core exposes a cycle. The records are then undone in reverse order,
-and each node takes its path from the node that it hung on.
+of nodes with a single remaining child, an independent set (nodes whose hash is less than their neighbours') is
+spliced out. Both record what they removed, so the number of rounds is logarithmic whatever the depth. A ring of links
+shrinks to a node that is its own parent and can never be raked: such a core exposes a cycle. The records form trees
+no deeper than the number of steps; they are reversed all at once by doubling: each node takes over the path segment
+of the node that it hung on, and hangs on from there.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ def _round(e: DataFrame, r: int) -> DataFrame:
     inner = e.join(kids, "child", "left")
     leaf = inner.where(F.col("has").isNull()).select("child", "parent", "via", F.lit("rake").alias("what"))
     stay = inner.where(F.col("has").isNotNull()).drop("has")
-    count = stay.groupBy(F.col("parent").alias("child")).agg(F.count("*").alias("n"))
-    coin = lambda c: F.pmod(F.xxhash64(c, F.lit(r)), F.lit(2)) == 1
-    stay = stay.join(count, "child", "left").withColumn("splice", F.coalesce((F.col("n") == 1) & coin(F.col("child")) & ~coin(F.col("parent")), F.lit(False)))
+    count = stay.groupBy(F.col("parent").alias("child")).agg(F.count("*").alias("n"), F.min("child").alias("only"))
+    h = lambda c: F.xxhash64(c, F.lit(r))
+    mine = (F.col("n") == 1) & (h(F.col("child")) < h(F.col("parent"))) & (h(F.col("child")) < h(F.col("only")))
+    stay = stay.join(count, "child", "left").withColumn("splice", F.coalesce(mine, F.lit(False)))
     gone = stay.where("splice").select("child", "parent", "via", F.lit("splice").alias("what"))
     up = gone.select(F.col("child").alias("parent"), F.col("parent").alias("_p"), F.col("via").alias("_v"))
     kept = stay.where("not splice").join(up, "parent", "left").select(
@@ -50,32 +52,32 @@ def hierarchy(links: DataFrame, salts: int = SALTS, max_rounds: int = 200) -> Da
     where paths are handed down; contraction itself never gathers a node's children.
     """
     node = links.schema["child"].dataType
-    e = cut(links.select("child", "parent", F.array().cast(f"array<{node.simpleString()}>").alias("via")))
+    paths = f"array<{node.simpleString()}>"
+    e = cut(links.select("child", "parent", F.array().cast(paths).alias("via")))
     hot = hot_keys(e, "parent")
     roots = e.select(F.col("parent").alias("node")).distinct().join(e.select(F.col("child").alias("node")), "node", "left_anti")
-    done = [roots.select("node", F.array("node").alias("path"))]
-    undo, cores, live = [], [], e
+    # (node, up, seg): the path of node is the path of up, then seg; NULL up: seg is the whole path, NULL on a ring
+    done = [roots.select("node", F.lit(None).cast(node).alias("up"), F.array("node").alias("seg"))]
+    live = e
     for r in range(max_rounds):
-        core = live.where(F.col("child") == F.col("parent")).select(F.col("child").alias("node"), F.lit(None).cast(f"array<{node.simpleString()}>").alias("path"))
-        cores.append(core)
+        core = live.where(F.col("child") == F.col("parent"))
         flagged = cut(_round(live.where(F.col("child") != F.col("parent")), r))
-        left = {x["what"]: x["n"] for x in flagged.groupBy("what").agg(F.count("*").alias("n")).collect()}
-        for what in ("rake", "splice"):
-            if what in left:
-                undo.append(flagged.where(F.col("what") == what).select("child", "parent", "via"))
+        done.append(core.select(F.col("child").alias("node"), F.lit(None).cast(node).alias("up"), F.lit(None).cast(paths).alias("seg")))
+        done.append(flagged.where("what <> 'keep'").select(F.col("child").alias("node"), F.col("parent").alias("up"), F.concat("via", F.array("child")).alias("seg")))
         live = flagged.where("what = 'keep'").drop("what")
-        if "keep" not in left:
+        if live.isEmpty():
             break
     else:
         raise RuntimeError("links did not contract")
-    solved = cut(done[0].unionByName(cores[0]) if len(cores) == 1 else _all([*done, *cores]))
-    parts = [solved]
-    for rec in reversed(undo):  # of one round first the spliced nodes, on which raked ones may hang
-        known = _all(parts).withColumn("_s", F.explode(salts_for(F.col("node"), hot, salts))).withColumnRenamed("node", "parent")
-        rec = rec.withColumn("_s", salt_of(F.col("parent"), hot, F.col("child"), salts))
-        parts.append(cut(rec.join(known, ["parent", "_s"]).select(F.col("child").alias("node"), F.concat("path", "via", F.array("child")).alias("path"))))
-    out = _all(parts)
-    return out.select("node", F.get("path", F.lit(0)).alias("root"), F.when(F.col("path").isNotNull(), F.size("path") - 1).alias("depth"), "path", F.col("path").isNull().alias("ring"))
+    t = cut(_all(done))
+    for _ in range(max_rounds):
+        open_ = t.where(F.col("up").isNotNull())
+        if open_.isEmpty():
+            break
+        known = t.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("seg").alias("_seg"), F.explode(salts_for(F.col("node"), hot, salts)).alias("_s"))
+        open_ = open_.withColumn("_s", salt_of(F.col("up"), hot, F.col("node"), salts)).join(known, ["up", "_s"])
+        t = cut(t.where(F.col("up").isNull()).unionByName(open_.select("node", F.col("_up").alias("up"), F.concat("_seg", "seg").alias("seg"))))
+    return t.select("node", F.get("seg", F.lit(0)).alias("root"), F.when(F.col("seg").isNotNull(), F.size("seg") - 1).alias("depth"), F.col("seg").alias("path"), F.col("seg").isNull().alias("ring"))
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:

@@ -217,12 +217,9 @@ def cutoff_stability(spark: SparkSession, d: str) -> DataFrame:
     return y.groupBy("urn").agg(F.count("*").alias("n_years"), R(F.median("r"), 4).alias("median_m"), R(F.stddev_samp("r") / F.avg("r"), 6).alias("cv"))
 
 
-_SHAPED = C("cutoff_as_published").rlike(_DIST)
-
-
 def provenance_errors(spark: SparkSession, d: str) -> DataFrame:
     rules = [
-        ("year", C("entry_year").between(2000, 2100)), ("url", C("source_url").startswith("http")), ("distance", _SHAPED), ("metres", C("cutoff_m") > 0),
+        ("year", C("entry_year").between(2000, 2100)), ("url", C("source_url").startswith("http")), ("distance", C("cutoff_as_published").rlike(_DIST)), ("metres", C("cutoff_m") > 0),
         ("verifier", (C("status") != "verified") | (F.coalesce("verified_by", F.lit("")) != "")),
     ]
     e = quality.errors(table(spark, d, "provenance"), "prov_id", rules, unique=["urn", "entry_year"])

@@ -48,13 +48,15 @@ def text_csv_with_preamble(spark: SparkSession, path: str, marker: str, encoding
 
     Only the file's first lines are read at the driver to find the header; a file without it is an error.
     """
-    head = spark.read.option("encoding", encoding).text(path).limit(20).collect()
+    # the text source knows UTF-8 only; a CSV without separator and quotes gives whole lines in any encoding
+    lines = spark.read.schema("value string").option("encoding", encoding).option("sep", "\u0001").option("quote", "").csv(path)
+    head = lines.limit(20).collect()
     at = next((i for i, r in enumerate(head) if marker in (r[0] or "")), None)
     if at is None:
         raise ValueError(f"no header with {marker!r} within the first lines of {path}")
     names = [c.strip().strip('"') for c in head[at][0].split(",")]
     skipped = [r[0] for r in head[: at + 1]]
-    lines = spark.read.option("encoding", encoding).text(path).where(~F.col("value").isin(skipped))
+    lines = lines.where(~F.col("value").isin(skipped))
     parsed = F.from_csv("value", F.lit(", ".join(f"`{n}` string" for n in names)))
     return lines.select(parsed.alias("r")).select("r.*")
 
