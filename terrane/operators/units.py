@@ -154,8 +154,8 @@ def reconcile_distances(df: DataFrame, *, published: str, metres: str, texts: li
     restricts the choice, then one named in ``texts``; without either the identity decides, and a choice beyond the
     tolerance or not unique gives no metres. ``wrong`` is true where a stated unit and an exact figure give metres
     that differ by more than ``tolerance_m`` from the stored ones; false otherwise, also for NULLs. A comma before
-    three digits that could part thousands or decimals takes the reading with the lesser residual, thousands where
-    there is no stored value.
+    three digits parts thousands; with miles, kilometres or no unit it may also be a decimal one, and the reading with
+    the lesser residual is taken, thousands where there is no stored value.
     """
     terms = [(1.0, list(METRES.items())), (-1.0, [("m", 1.0)])]
 
@@ -179,7 +179,9 @@ def reconcile_distances(df: DataFrame, *, published: str, metres: str, texts: li
                 (x["stated"].isNotNull() & F.coalesce((F.coalesce(s["residual"], F.lit(1.0)) != 0) & ~F.isnan(x["stored"]) & (F.abs(x["stored"] - m) > tolerance_m), F.lit(False))).alias("wrong"),
             )))
 
-        both = F.struct(solution(x["d"]["figure"]).alias("a"), solution(x["d"]["figure_alt"]).alias("b"))
+        # a lone comma can be a decimal one only where a figure of that size could be meant: with miles and kilometres
+        alt = F.when(F.coalesce(x["stated"].isin("mile", "km"), F.lit(True)), x["d"]["figure_alt"])
+        both = F.struct(solution(x["d"]["figure"]).alias("a"), solution(alt).alias("b"))
         return let(let(both, better), verdict)
 
     read = F.struct(read_distance(F.col(published)).alias("d"), named_unit(*(F.col(t) for t in texts)).alias("named"), F.col(metres).cast("double").alias("stored"))

@@ -27,20 +27,33 @@ def guard_columns(df: DataFrame, forbidden: tuple[str, ...] = (), required: tupl
     return df
 
 
+def _charset(encoding: str) -> str:
+    """Spark reads a few character sets only; Windows-1252 is read as Latin-1 and mended by ``_mended``."""
+    return "iso-8859-1" if encoding.lower() in ("windows-1252", "cp1252") else encoding
+
+
+def _mended(df: DataFrame, encoding: str) -> DataFrame:
+    """Strings that were read as Latin-1 with the 27 letters and marks in which Windows-1252 differs."""
+    if _charset(encoding) == encoding:
+        return df
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    a, b = ("".join(x) for x in zip(*((x, y) for x, y in pairs if y)))
+    return df.select(*(F.translate(f.name, a, b).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema))
+
+
 def typed_csv(spark: SparkSession, path, schema: T.StructType, header: bool = False, encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
     """Headerless or headed CSV with a fixed schema; nothing is inferred. ``path`` may be a glob or a list."""
-    return (
-        spark.read.schema(schema).option("header", header).option("encoding", encoding).option("multiLine", multi_line)
-        .option("escape", '"').option("mode", "PERMISSIVE").csv(path)
-    )
+    r = spark.read.schema(schema).option("header", header).option("encoding", _charset(encoding)).option("multiLine", multi_line)
+    return _mended(r.option("escape", '"').option("mode", "PERMISSIVE").csv(path), encoding)
 
 
 def text_csv(spark: SparkSession, path, encoding: str = "UTF-8", keep_empty: bool = True) -> DataFrame:
     """Headed CSV with every column a string. ``keep_empty``: an empty field stays '' instead of NULL."""
-    df = spark.read.option("header", True).option("encoding", encoding).option("escape", '"').option("inferSchema", False)
+    df = spark.read.option("header", True).option("encoding", _charset(encoding)).option("escape", '"').option("inferSchema", False)
     if keep_empty:
-        return df.option("nullValue", "\u0000").option("emptyValue", "").csv(path).na.fill("")
-    return df.csv(path)
+        df = df.option("nullValue", "\u0000").option("emptyValue", "")
+        return _mended(df.csv(path), encoding).na.fill("")
+    return _mended(df.csv(path), encoding)
 
 
 def text_csv_with_preamble(spark: SparkSession, path: str, marker: str, encoding: str = "windows-1252") -> DataFrame:
@@ -49,7 +62,8 @@ def text_csv_with_preamble(spark: SparkSession, path: str, marker: str, encoding
     Only the file's first lines are read at the driver to find the header; a file without it is an error.
     """
     # the text source knows UTF-8 only; a CSV without separator and quotes gives whole lines in any encoding
-    lines = spark.read.schema("value string").option("encoding", encoding).option("sep", "\u0001").option("quote", "").csv(path)
+    raw = spark.read.schema("value string").option("encoding", _charset(encoding)).option("sep", "\u0001").option("quote", "")
+    lines = _mended(raw.csv(path), encoding)
     head = lines.limit(20).collect()
     at = next((i for i, r in enumerate(head) if marker in (r[0] or "")), None)
     if at is None:
