@@ -205,14 +205,11 @@ def pack(items: DataFrame, key: str, size: Column, capacity: int = CAPACITY, sal
     sized = cut(items.select(F.col(key), F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("size")))
     whole, rest = F.floor(F.col("size") / capacity), F.col("size") % capacity
     rests = sized.where(rest > 0).select(key, whole.cast("int").alias("piece"), rest.cast("int").alias("size")).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
-    counts = rests.groupBy("size", "_salt").agg(F.count("*").alias("n")).collect()  # at most capacity * salts rows
-    first, seen = [], {}
-    for r in sorted(counts, key=lambda r: (r["size"], r["_salt"])):
-        first.append((r["size"], r["_salt"], seen.get(r["size"], 0)))
-        seen[r["size"]] = seen.get(r["size"], 0) + r["n"]
-    shapes = plan(seen, capacity)
+    counts = rests.groupBy("size", "_salt").agg(F.count("*").alias("n"))  # at most capacity * salts rows
+    shapes = plan({r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}, capacity)
     used = sum(n for _, n in shapes)
-    starts = spark.createDataFrame(first, "size int, _salt long, _first long")
+    before = Window.partitionBy("size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("size", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
     places = spark.createDataFrame(slots(shapes), "size int, _lo long, _hi long, _base long, _n long, _offset long")
     ranked = rests.withColumn("_r", F.row_number().over(Window.partitionBy("size", "_salt").orderBy(key, "piece")) - 1)
     ranked = ranked.join(F.broadcast(starts), ["size", "_salt"]).withColumn("_r", F.col("_r") + F.col("_first"))
