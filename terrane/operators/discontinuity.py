@@ -93,48 +93,56 @@ def moments(df: DataFrame, s: Spec, more: list[Column] = ()) -> DataFrame:
 class Design:
     """The regressors of each cell as coefficients of the powers of x, and the Gram matrices built from them."""
 
-    def __init__(self, cells: list, s: Spec):
-        if not cells or not any(c["inside"] for c in cells) or all(c["inside"] for c in cells):
+    def __init__(self, cells, s: Spec, least_clusters: int = 2):
+        """``cells``: pandas frame of ``moments``."""
+        inside = cells["inside"].to_numpy(bool)
+        if not inside.any() or inside.all():
             raise ValueError(f"{s.label or 'fit'}: no observations on one side within h={s.h:g}")
-        self.s, self.cells = s, cells
-        self.clusters = list(dict.fromkeys(c["cluster"] for c in sorted(cells, key=lambda c: c["cluster"] or "")))
-        if len(self.clusters) < 2:
-            raise ValueError(f"{s.label or 'fit'}: need at least 2 clusters, got {len(self.clusters)}")
-        p = s.poly
-        names = ["const", "inside", *(n for k in range(1, p + 1) for n in (f"x{k}", f"x{k}_inside"))]
-        at = {n: i for i, n in enumerate(names)}
-        levels = {f: sorted({str(c[f"fe_{f}"]) for c in cells})[1:] for f in s.fe}
-        for f, ls in levels.items():
-            for v in ls:
+        cells = cells.assign(cluster=cells["cluster"].fillna("None"), **{f"fe_{f}": cells[f"fe_{f}"].fillna("None") for f in s.fe})
+        cells = cells.sort_values("cluster", kind="stable").reset_index(drop=True)
+        self.s, p = s, s.poly
+        code, names = cells["cluster"].factorize(sort=True)
+        self.clusters = list(names)
+        if len(self.clusters) < least_clusters:
+            raise ValueError(f"{s.label or 'fit'}: need at least {least_clusters} clusters, got {len(self.clusters)}")
+        at: dict = {n: i for i, n in enumerate(["const", "inside", *(n for k in range(1, p + 1) for n in (f"x{k}", f"x{k}_inside"))])}
+        for f in s.fe:
+            for v in sorted(cells[f"fe_{f}"].unique())[1:]:
                 at[(f, v)] = len(at)
         if s.slopes:
             for g in self.clusters[1:]:
                 at[("slope", g)] = len(at)
                 at[("slope_inside", g)] = len(at)
-        self.at, K = at, len(at)
-        G = len(self.clusters)
+        i = cells["inside"].to_numpy(float)
+        n_cells, K, G = len(cells), len(at), len(self.clusters)
+        B = [np.zeros((n_cells, K)) for _ in range(p + 1)]  # coefficients of x^k in each cell's regressors
+        B[0][:, at["const"]], B[0][:, at["inside"]] = 1.0, i
+        for k in range(1, p + 1):
+            B[k][:, at[f"x{k}"]], B[k][:, at[f"x{k}_inside"]] = 1.0, i
+        rows = np.arange(n_cells)
+        for f in s.fe:
+            col = cells[f"fe_{f}"].map(lambda v, f=f: at.get((f, v), -1)).to_numpy(int)
+            B[0][rows[col >= 0], col[col >= 0]] = 1.0
+        if s.slopes:
+            for name, value in (("slope", np.ones(n_cells)), ("slope_inside", i)):
+                col = cells["cluster"].map(lambda g, name=name: at.get((name, g), -1)).to_numpy(int)
+                B[1][rows[col >= 0], col[col >= 0]] = value[col >= 0]
+        S = [cells[f"s{k}"].to_numpy(float) for k in range(2 * p + 1)]
+        T = [cells[f"t{k}"].to_numpy(float) for k in range(p + 1)]
+        edges = np.r_[np.searchsorted(code, np.arange(G)), n_cells]
+        self.at, self.cells = at, cells
         self.xx, self.xy = np.zeros((G, K, K)), np.zeros((G, K))
-        self.n, self.n_in = 0, 0
-        index = {g: i for i, g in enumerate(self.clusters)}
-        for c in cells:
-            B = np.zeros((p + 1, K))
-            i = float(c["inside"])
-            B[0, at["const"]], B[0, at["inside"]] = 1.0, i
-            for k in range(1, p + 1):
-                B[k, at[f"x{k}"]], B[k, at[f"x{k}_inside"]] = 1.0, i
-            for f in s.fe:
-                if (f, str(c[f"fe_{f}"])) in at:
-                    B[0, at[(f, str(c[f"fe_{f}"]))]] = 1.0
-            if ("slope", c["cluster"]) in at:
-                B[1, at[("slope", c["cluster"])]], B[1, at[("slope_inside", c["cluster"])]] = 1.0, i
-            S = np.array([[c[f"s{a + b}"] for b in range(p + 1)] for a in range(p + 1)])
-            used = np.flatnonzero(B.any(axis=0))
-            b = B[:, used]
-            g = index[c["cluster"]]
-            self.xx[g][np.ix_(used, used)] += b.T @ S @ b
-            self.xy[g, used] += b.T @ np.array([c[f"t{k}"] for k in range(p + 1)])
-            self.n += c["n"]
-            self.n_in += c["n"] * int(c["inside"])
+        for g in range(G):
+            r = slice(edges[g], edges[g + 1])
+            used = np.flatnonzero(sum(b[r].any(axis=0) for b in B))
+            part = [b[r][:, used] for b in B]
+            for a in range(p + 1):
+                self.xy[g, used] += part[a].T @ T[a][r]
+                for c in range(p + 1):
+                    self.xx[g][np.ix_(used, used)] += part[a].T @ (part[c] * S[a + c][r, None])
+        n = cells["n"].to_numpy(int)
+        self.n_by = np.bincount(code, weights=n, minlength=G).astype(int)
+        self.in_by = np.bincount(code, weights=n * i, minlength=G).astype(int)
 
     def solve(self, drop: int | None = None):
         keep = [g for g in range(len(self.clusters)) if g != drop]
@@ -147,8 +155,7 @@ class Design:
         subtraction, without another scan."""
         s, k = self.s, self.at["inside"]
         keep, inv, beta = self.solve(drop)
-        n = sum(c["n"] for c in self.cells if drop is None or c["cluster"] != self.clusters[drop])
-        n_in = sum(c["n"] for c in self.cells if c["inside"] and (drop is None or c["cluster"] != self.clusters[drop]))
+        n, n_in = int(self.n_by[keep].sum()), int(self.in_by[keep].sum())
         K = int((np.abs(self.xx[keep].sum(0)).sum(0) > 0).sum())
         G = len(keep)
         scores = np.array([inv[k] @ (self.xy[g] - self.xx[g] @ beta) for g in keep])
@@ -183,7 +190,7 @@ class Design:
 
 def fit(df: DataFrame, s: Spec) -> Estimate:
     """One estimate. The cells that reach the driver are bounded by the fixed effects' levels, not by the rows."""
-    d = Design(moments(df, s).collect(), s)
+    d = Design(moments(df, s).toPandas(), s)
     e = d.estimate()
     if s.draws:
         e.p_wild_bootstrap = d.bootstrap(s.draws, s.seed)
@@ -201,18 +208,18 @@ def sweep(df: DataFrame, s: Spec, bandwidths: list[float]) -> list[Estimate | Va
     xs = C("_x") / C("_h")
     keys = [C("_h"), C(s.cluster).cast("string").alias("cluster"), *(C(f).cast("string").alias(f"fe_{f}") for f in s.fe), (C("_x") > 0).alias("inside")]
     sums = [F.sum(C("_w") * F.pow(xs, F.lit(k))).alias(f"s{k}") for k in range(2 * s.poly + 1)] + [F.sum(C("_w") * C("_y") * F.pow(xs, F.lit(k))).alias(f"t{k}") for k in range(s.poly + 1)]
-    cells = d.groupBy(*keys).agg(F.count("*").alias("n"), *sums).collect()
+    cells = d.groupBy(*keys).agg(F.count("*").alias("n"), *sums).toPandas()
     out = []
     for h in bandwidths:
         try:
-            out.append(Design([c for c in cells if c["_h"] == h], replace(s, h=float(h))).estimate())
+            out.append(Design(cells[cells["_h"] == h], replace(s, h=float(h))).estimate())
         except ValueError as e:
             out.append(e)
     return out
 
 
 def leave_one_out(df: DataFrame, s: Spec) -> list[tuple[str, Estimate]]:
-    d = Design(moments(df, s).collect(), s)
+    d = Design(moments(df, s).toPandas(), s)
     return [(g, d.estimate(drop=i)) for i, g in enumerate(d.clusters)]
 
 
@@ -227,24 +234,18 @@ def by_group(df: DataFrame, group: str, s: Spec) -> DataFrame:
 
     spark = df.sparkSession
     plain = replace(s, cluster=group)
-    cells: dict = {}
-    for c in moments(df, plain).collect():
-        cells.setdefault(c["cluster"], []).append(c)
     coefs, heads = [], []
-    for g, cs in cells.items():
-        if g is None or not (any(c["inside"] for c in cs) and any(not c["inside"] for c in cs)):
+    for g, cs in moments(df, plain).toPandas().groupby("cluster"):
+        if cs["inside"].all() or not cs["inside"].any():
             continue
-        other = [{**c.asDict(), "cluster": c["cluster"] + "'"} for c in cs]  # a twin satisfies the cluster check
-        d = Design([c.asDict() for c in cs] + [dict(c, n=0, **{f"{a}{k}": 0.0 for a, m in (("s", 2 * s.poly), ("t", s.poly)) for k in range(m + 1)}) for c in other], plain)
+        d = Design(cs, plain, least_clusters=1)
         _, inv, beta = d.solve()
         m, K = inv[d.at["inside"]], int((np.abs(d.xx.sum(0)).sum(0) > 0).sum())
         heads.append((g, float(beta[d.at["inside"]]), K))
-        for c in cs:
-            lv = [str(c[f"fe_{f}"]) for f in s.fe]
-            i = float(c["inside"])
-            add = [d.at[(f, v)] for f, v in zip(s.fe, lv) if (f, v) in d.at]
+        for inside, *lv in cs[["inside", *(f"fe_{f}" for f in s.fe)]].fillna("None").itertuples(index=False):
+            i, add = float(inside), [d.at[(f, v)] for f, v in zip(s.fe, lv) if (f, v) in d.at]
             line = lambda b: [float(b[d.at["const"]] + i * b[d.at["inside"]] + sum(b[a] for a in add)), *(float(b[d.at[f"x{k}"]] + i * b[d.at[f"x{k}_inside"]]) for k in range(1, s.poly + 1))]  # noqa: E731,B023
-            coefs.append((g, bool(c["inside"]), lv, line(beta), line(m)))
+            coefs.append((g, bool(inside), lv, line(beta), line(m)))
     if not heads:
         return spark.createDataFrame([], "grp string, tau double, se double, n_obs long, n_inside long, n_clusters long, p_value double, ci_low double, ci_high double")
     coef = spark.createDataFrame(coefs, "_g string, _i boolean, _fe array<string>, _b array<double>, _m array<double>")

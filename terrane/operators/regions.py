@@ -57,14 +57,17 @@ def cells(edges: DataFrame, strip: float) -> DataFrame:
 def points_in_regions(points: DataFrame, x: Column, y: Column, edges: DataFrame, *, strip: float = 500.0, eps: float = 1e-6, broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
     """Every (point row, region) whose crossing parity is odd or that lies on the boundary.
 
-    Keeps the columns of ``points`` and adds ``region``, ``crossings`` and ``on_boundary``; exact repeats of a point
-    row stay repeats. NULL, NaN and infinite coordinates are in no region. A row on a boundary is returned with
+    Keeps the columns of ``points`` and adds ``region``, ``crossings`` and ``on_boundary`` (replacing columns of these
+    names); exact repeats of a point row stay repeats. NULL, NaN and infinite coordinates are in no region. A row on a boundary is returned with
     ``on_boundary`` true for the caller's own rule; otherwise it is strictly inside.
     The regions' cells are counted: up to ``broadcast_cells`` they are broadcast, beyond it both sides shuffle by cell.
     """
     px, py = x.cast("double"), y.cast("double")
     big = F.lit(1e15)
-    p = points.withColumns({"_x": px, "_y": py}).where(F.col("_x").isNotNull() & F.col("_y").isNotNull() & (F.abs("_x") < big) & (F.abs("_y") < big))
+    keep = [n for n in points.columns if n not in ("region", "crossings", "on_boundary")]
+    # the row travels as one struct, so that no column of it can clash with the operator's own
+    p = points.select(F.struct(*(F.col(f"`{n}`") for n in keep)).alias("_row"), px.alias("_x"), py.alias("_y"))
+    p = p.where(F.col("_x").isNotNull() & F.col("_y").isNotNull() & (F.abs("_x") < big) & (F.abs("_y") < big))
     p = p.withColumns({"_strip": F.floor(F.col("_y") / strip), "_column": F.floor(F.col("_x") / strip)})
     c = cells(edges, strip).select(F.col("strip").alias("_strip"), F.col("column").alias("_column"), F.col("region").alias("_region"), "west", "east", "south", "north", F.col("edges").alias("_edges"))
     c = c.withColumnsRenamed({n: f"_{n}" for n in ("west", "east", "south", "north")})
@@ -87,5 +90,5 @@ def points_in_regions(points: DataFrame, x: Column, y: Column, edges: DataFrame,
         return F.coalesce(along, flat | ((e["lo"] - eps <= Y) & (Y <= e["hi"] + eps) & F.coalesce(F.abs(cross_x(e) - X) <= eps, F.lit(False))), F.lit(False))
 
     j = j.withColumns({"crossings": F.size(F.filter("_edges", counts)), "on_boundary": F.exists("_edges", touches)})
-    keep = [n for n in p.columns if not n.startswith("_")]
-    return j.where((F.col("crossings") % 2 == 1) | F.col("on_boundary")).select(*keep, F.col("_region").alias("region"), "crossings", "on_boundary")
+    j = j.where((F.col("crossings") % 2 == 1) | F.col("on_boundary"))
+    return j.select(*(F.col("_row").getField(n).alias(n) for n in keep), F.col("_region").alias("region"), "crossings", "on_boundary")

@@ -43,6 +43,12 @@ def test_polygons_with_holes_and_vertices(spark):
     assert rows == {(1, "a"): False, (1, "d"): False, (2, "d"): False, (3, "a"): True, (4, "a"): True, (6, "a"): False}
 
 
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.0, "old", 5, 1.0)], "id int, _x double, y double, region string, _edges int, west double")
+    r = points_in_regions(df, F.col("_x"), F.col("y"), _circles(spark, [("c", 0.0, 0.0, 9.0, 1.0)])).collect()
+    assert [(x["id"], x["region"], x["_edges"], x["west"]) for x in r] == [(1, "c", 5, 1.0)]
+
+
 def test_empty(spark):
     assert _inside(spark, [], _circles(spark, [("c", 0.0, 0.0, 1.0, 1.0)])).count() == 0
     assert _inside(spark, [(1, 0.0, 0.0, "")], _circles(spark, [])).count() == 0
