@@ -17,8 +17,10 @@ from terrane.session import cut
 CAPACITY = 2048
 #: Search effort: nodes of the search per distinct size, and completions tried per node.
 NODES_PER_SIZE, WIDTH = 2.5, 3
-#: Parts into which the documents of one size are split for ranking.
-SALTS = 32
+#: Parts into which the documents of one size are split for ranking: at least so many, and one more for each so many items.
+SALTS, ITEMS_PER_SALT = 16, 2_000_000
+#: Rows of offsets that may be broadcast.
+BROADCAST_ROWS = 200_000
 
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -193,7 +195,7 @@ def slots(shapes: Plan) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-def pack(items: DataFrame, key: str, size: Column, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack(items: DataFrame, key: str, size: Column, capacity: int = CAPACITY, salts: int | None = None) -> DataFrame:
     """Places for all items: (key, piece, container, position, size), position being the offset in the container.
 
     An item above the capacity is cut into full pieces, each a container of its own, and a rest that is packed like
@@ -203,6 +205,8 @@ def pack(items: DataFrame, key: str, size: Column, capacity: int = CAPACITY, sal
     """
     spark = items.sparkSession
     sized = cut(items.select(F.col(key), F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("size")))
+    salts = salts or SALTS + sized.count() // ITEMS_PER_SALT
+    small = F.broadcast if capacity * salts <= BROADCAST_ROWS else lambda df: df
     whole, rest = F.floor(F.col("size") / capacity), F.col("size") % capacity
     rests = sized.where(rest > 0).select(key, whole.cast("int").alias("piece"), rest.cast("int").alias("size")).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
     counts = rests.groupBy("size", "_salt").agg(F.count("*").alias("n"))  # at most capacity * salts rows
@@ -212,7 +216,7 @@ def pack(items: DataFrame, key: str, size: Column, capacity: int = CAPACITY, sal
     starts = counts.select("size", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
     places = spark.createDataFrame(slots(shapes), "size int, _lo long, _hi long, _base long, _n long, _offset long")
     ranked = rests.withColumn("_r", F.row_number().over(Window.partitionBy("size", "_salt").orderBy(key, "piece")) - 1)
-    ranked = ranked.join(F.broadcast(starts), ["size", "_salt"]).withColumn("_r", F.col("_r") + F.col("_first"))
+    ranked = ranked.join(small(starts), ["size", "_salt"]).withColumn("_r", F.col("_r") + F.col("_first"))
     at = ranked.join(F.broadcast(places), "size").where("_lo <= _r and _r < _hi")
     kth = F.col("_r") - F.col("_lo")
     packed = at.select(key, "piece", (F.col("_base") + kth % F.col("_n")).alias("container"), (F.col("_offset") + F.floor(kth / F.col("_n")) * F.col("size")).cast("int").alias("position"), "size")
