@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators import asof
+
 C = F.col
 
 
@@ -54,3 +56,14 @@ def lineage(tree: DataFrame) -> DataFrame:
     p = tree.where(~C("ring")).select(C("node"), "depth", F.posexplode("path").alias("_at", "ancestor"))
     own = tree.where(C("ring")).select("node", C("node").alias("ancestor"), F.lit(0).alias("steps"))
     return p.select("node", "ancestor", (C("depth") - C("_at")).cast("int").alias("steps")).unionByName(own)
+
+
+def in_force(questions: DataFrame, key: str, at: str, events: DataFrame, lines: DataFrame, *, event_key: str, event_at: Column, value: str) -> DataFrame:
+    """Each question (key, time) with ``in_force``: the latest event's value up to its time over the key and all its
+    ancestors (``lines``: node, ancestor, steps), of one time the nearest ancestor's; NULL where there is none. Keys
+    that ``lines`` lacks have themselves alone."""
+    own = questions.select(C(key).alias("node")).where("node is not null").distinct().join(lines.select("node").distinct(), "node", "left_anti")
+    reach = lines.select("node", "ancestor", "steps").unionByName(own.select("node", C("node").alias("ancestor"), F.lit(0).alias("steps")))
+    e = events.select(C(event_key).alias("ancestor"), event_at.alias("_at"), C(value).alias("_v"))
+    h = asof.history(reach.join(e, "ancestor"), "in_force", C("node"), C("_at"), C("_v"), [-C("steps")])
+    return asof.as_of(questions, key, at, {"in_force": h})

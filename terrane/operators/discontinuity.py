@@ -228,7 +228,7 @@ def by_group(df: DataFrame, group: str, s: Spec) -> DataFrame:
 
     Pass one: moments per group, without clusters, solved at the driver (as many small systems as groups). Pass two:
     each row's score under its group's coefficients, summed per cluster and then squared per group, in Spark. Groups
-    with one side empty or a single cluster are left out.
+    with one side empty, a single cluster or no more rows than regressors are left out.
     """
     from dataclasses import replace
 
@@ -254,7 +254,7 @@ def by_group(df: DataFrame, group: str, s: Spec) -> DataFrame:
     j = rows.join(F.broadcast(coef), ["_g", "_i", "_fe"])  # bounded by groups times fixed-effect levels
     poly = lambda a: sum((F.get(C(a), F.lit(k)) * F.pow("_xs", F.lit(k)) for k in range(1, s.poly + 1)), F.get(C(a), F.lit(0)))
     sc = j.groupBy("_g", C(s.cluster).alias("_c")).agg(F.sum(C("_w") * poly("_m") * (C("_y") - poly("_b"))).alias("_s"), F.count("*").alias("_n"), F.sum(C("_i").cast("long")).alias("_in"))
-    tot = sc.groupBy("_g").agg(F.sum(C("_s") * C("_s")).alias("_ss"), F.count("*").alias("G"), F.sum("_n").alias("n"), F.sum("_in").alias("n_in")).join(head, "_g").where("G > 1").collect()
+    tot = sc.groupBy("_g").agg(F.sum(C("_s") * C("_s")).alias("_ss"), F.count("*").alias("G"), F.sum("_n").alias("n"), F.sum("_in").alias("n_in")).join(head, "_g").where("G > 1 and n > _K").collect()
     out = []
     for r in tot:
         G, n = r["G"], r["n"]

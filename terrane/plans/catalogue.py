@@ -212,6 +212,14 @@ def lineage(spark: SparkSession, d: str) -> DataFrame:
     return changes.lineage(hierarchy.hierarchy(_links(spark, d))).select("node", "ancestor", C("steps").cast("long").alias("steps"))
 
 
+def lineage_grades(spark: SparkSession, d: str) -> DataFrame:
+    """Grade in force for each boundary's school and its predecessors on every 1 March from 2015 to 2025."""
+    days = table(spark, d, "boundary").select("urn", F.explode(F.sequence(F.lit(2015), F.lit(2025))).alias("year")).withColumn("day", F.make_date("year", F.lit(3), F.lit(1)))
+    lines = changes.lineage(hierarchy.hierarchy(_links(spark, d)))
+    e = _reports(spark, d).where("role = 'current'").groupBy("urn", C("publication_date").cast("date").alias("on_day")).agg(F.max("grade").alias("grade"))
+    return changes.in_force(days, "urn", "day", e, lines, event_key="urn", event_at=C("on_day"), value="grade").select("urn", "year", C("in_force").alias("grade"))
+
+
 def cutoff_stability(spark: SparkSession, d: str) -> DataFrame:
     y = table(spark, d, "provenance").where("cutoff_m is not null").groupBy("urn", "entry_year").agg(F.avg("cutoff_m").alias("r"))
     return y.groupBy("urn").agg(F.count("*").alias("n_years"), R(F.median("r"), 4).alias("median_m"), R(F.stddev_samp("r") / F.avg("r"), 6).alias("cv"))
@@ -298,6 +306,12 @@ def rd_per_region(spark: SparkSession, d: str) -> DataFrame:
     return rd.by_group(_kept(spark, d), "boundary_id", replace(_MAIN, cluster="postcode", fe=("property_type", "year_quarter")))
 
 
+def rd_timing(spark: SparkSession, d: str) -> DataFrame:
+    """Separate fits before and after each change of grade, errors clustered on postcodes."""
+    t = _halves(spark, d).withColumn("part", F.concat_ws(" ", "boundary_id", C("change_at").cast("date").cast("string"), "half"))
+    return rd.by_group(t.persist(StorageLevel.MEMORY_AND_DISK), "part", replace(_MAIN, cluster="postcode", fe=("property_type", "year_quarter")))
+
+
 def rd_octants(spark: SparkSession, d: str) -> DataFrame:
     """The main fit with boundary octants (bearing from the centre, clockwise from north) as effects."""
     s = _sample(spark, d).join(F.broadcast(_circles(spark, d).select(C("urn").alias("boundary_id"), "cx", "cy")), "boundary_id")
@@ -323,12 +337,16 @@ def verdicts(spark: SparkSession, d: str) -> DataFrame:
     return battery.verdict(robustness(spark, d))
 
 
-def timing(spark: SparkSession, d: str) -> DataFrame:
+def _halves(spark: SparkSession, d: str) -> DataFrame:
     """Sales before and after each change of grade that leaves two years of the window on either side."""
     s = _sample(spark, d)
     h = changes.change_points(_reports(spark, d).where("role = 'current'").select("urn", "publication_date", "event_id", "grade"), "urn", ["publication_date", "event_id"], "grade")
     h = h.where("publication_date >= timestamp'2017-01-01' and publication_date <= timestamp'2023-12-31'").select(C("urn").alias("boundary_id"), "publication_date")
-    t = battery.timing_halves(s, h.distinct(), "boundary_id", "publication_date")
+    return battery.timing_halves(s, h.distinct(), "boundary_id", "publication_date")
+
+
+def timing(spark: SparkSession, d: str) -> DataFrame:
+    t = _halves(spark, d)
     return t.groupBy("boundary_id", "change_at", "half").agg(F.count("*").alias("n_sales")).groupBy("boundary_id", "half").agg(F.sum("n_sales").alias("n_sales"))
 
 
@@ -391,8 +409,8 @@ QUERIES = {
     for f in (
         step_log, duplicate_postcodes, postcode_forms, match_audit, region_box, quarter_counts, indicator_sums, strict_distance, link_years, event_props, candidate_pairs, side_counts,
         assign_nearest, assign_in_place, near_counts, active_from, share_within, polygon_distance, nearest_centre, nearest_three, yearly_radius, events_union, events_deduped, grade_history,
-        lineage, cutoff_stability, provenance_errors, screen_failures, rd_sides, rd_by_region, rd_plain_sweep, rd_plain_donut, rd_plain_placebo, cell_moments, rd_main, rd_sweep, rd_forms,
-        rd_leave_one_out, rd_per_region, rd_octants, octant_counts, robustness, verdicts, timing, density_histogram, density_test, binned_means, residual_bins, median_outside, pivot_sides,
+        lineage, lineage_grades, cutoff_stability, provenance_errors, screen_failures, rd_sides, rd_by_region, rd_plain_sweep, rd_plain_donut, rd_plain_placebo, cell_moments, rd_main, rd_sweep, rd_forms,
+        rd_leave_one_out, rd_per_region, rd_timing, rd_octants, octant_counts, robustness, verdicts, timing, density_histogram, density_test, binned_means, residual_bins, median_outside, pivot_sides,
         balance, regions_without_sales, content_digest, stream_first_delivery,
     )
 }

@@ -144,6 +144,13 @@ c AS (SELECT DISTINCT urn, publication_date t FROM e WHERE (i = 1 OR grade IS DI
 SELECT boundary_id, CASE WHEN date < t::DATE THEN 'before' ELSE 'after' END AS half, count(*) AS n_sales FROM sample JOIN c ON c.urn = boundary_id GROUP BY 1, 2""",
     "stream_first_delivery": """
 WITH f AS (SELECT txn_id, min(loaded_at) t, count(*) k FROM pp_geo GROUP BY 1) SELECT date_trunc('month', t)::DATE AS month, count(*) AS n_sales, sum(k)::BIGINT AS n_deliveries FROM f GROUP BY 1""",
+    "lineage_grades": _TREE
+    + """, u AS (SELECT u AS node, u AS ancestor, 0::BIGINT AS steps FROM n UNION ALL SELECT u.node, e.parent, u.steps + 1 FROM u JOIN e ON e.child = u.ancestor WHERE u.node IN (SELECT u FROM t)),
+l AS (SELECT * FROM u UNION ALL SELECT urn, urn, 0 FROM boundary WHERE urn NOT IN (SELECT node FROM u)),
+q AS (SELECT urn, unnest(generate_series(2015, 2025))::INT AS year FROM boundary),
+g AS (SELECT urn, publication_date::DATE t, max(grade) grade FROM ofsted_events WHERE role = 'current' AND urn IS NOT NULL AND publication_date IS NOT NULL AND grade BETWEEN 1 AND 4 GROUP BY 1, 2),
+h AS (SELECT l.node, l.steps, g.t, g.grade FROM l JOIN g ON g.urn = l.ancestor)
+SELECT urn, year, (SELECT grade FROM h WHERE h.node = q.urn AND h.t <= make_date(q.year, 3, 1) ORDER BY t DESC, steps LIMIT 1) AS grade FROM q""",
     "lineage": _TREE
     + """, u AS (SELECT u AS node, u AS ancestor, 0::BIGINT AS steps FROM n UNION ALL SELECT u.node, e.parent, u.steps + 1 FROM u JOIN e ON e.child = u.ancestor WHERE u.node IN (SELECT u FROM t))
 SELECT node, ancestor, steps FROM u""",

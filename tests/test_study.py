@@ -143,6 +143,17 @@ def test_events(spark):
     assert u.columns == ["key", "v"] and changes.project_events(u, [{"a": "zz"}]) is None
 
 
+def test_grade_over_a_lineage(spark):
+    import datetime as dt
+
+    d = dt.date
+    ev = spark.createDataFrame([("100", d(2008, 5, 1), 2), ("100", d(2013, 2, 1), 1), ("200", d(2018, 6, 1), 2), ("100", d(2018, 6, 1), 4)], "urn string, on date, grade int")
+    lines = spark.createDataFrame([("200", "200", 0), ("200", "100", 1), ("100", "100", 0)], "node string, ancestor string, steps int")
+    q = spark.createDataFrame([("200", d(2016, 1, 1)), ("200", d(2020, 1, 1)), ("100", d(2008, 4, 30)), ("300", d(2020, 1, 1)), (None, d(2020, 1, 1))], "urn string, day date")
+    got = {(r["urn"], r["day"]): r["in_force"] for r in changes.in_force(q, "urn", "day", ev, lines, event_key="urn", event_at=F.col("on"), value="grade").collect()}
+    assert list(got.values()).count(None) == 3 and got[("200", d(2016, 1, 1))] == 1 and got[("200", d(2020, 1, 1))] == 2
+
+
 def test_quality(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("a", None), ("b", 3), (None, 0)], "k string, v int")
     log = quality.step_log(df, [("has k", F.col("k").isNotNull()), ("v over 0", F.col("v") > 0)]).collect()
