@@ -29,10 +29,13 @@ _ZERO_WIDTH = r"[\x{00AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]"
 _SPACED = r"(?<![\p{L}\p{N}])\p{L}(?:[ .*_\-]\p{L}){3,}(?![\p{L}\p{N}])"
 _APART = r"(?<![\p{L}\p{N}])(\p{L})[ .*_\-](?=\p{L}(?![\p{L}\p{N}]))"
 _LEET = r"\p{L}[0134578]{1,2}\p{L}"
-_LOOKALIKE = r"[\x{0400}-\x{052F}]"
+#: Invisible characters or look-alike letters: one sign for both, so that a text is read once for the two.
+_HIDDEN = r"[\x{00AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{0400}-\x{052F}]"
 #: Cheap signs of letters set apart and of digits for letters, tried on every text before the replacements.
 _SET_APART = r"(?<=[ .*_\-]\p{L})[ .*_\-]\p{L}[ .*_\-]\p{L}(?![\p{L}\p{N}])"
 _DIGITS = r"(?<=[a-z])[0134578]{1,2}[a-z]"
+#: Letters drawn out, and the cheap sign of them.
+_DRAWN, _DRAWN_OUT = r"(\p{L})\1{2,}", r"(\p{L})\1\1"
 #: Letters of other scripts that look like Latin ones. Fixed values.
 _LOOK, _LIKE = "авсеԁһіјкӏмопрѕтухѵԝ", "abcedhijklmonpstyxvw"
 _ENDS = ".!?;:\n\t|。！？；"
@@ -44,13 +47,13 @@ _END = 0  # hash of a passage's end
 
 
 def plain(text: Column) -> Column:
-    """Lower case, without invisible characters, look-alike letters, letters set apart and digits for letters. Each
-    replacement is tried only on texts that show its sign."""
+    """Lower case, without invisible characters, look-alike letters, letters set apart, digits for letters and letters
+    drawn out. Each replacement is tried only on texts that show its sign."""
     steps = [
-        (_ZERO_WIDTH, lambda t: F.regexp_replace(t, _ZERO_WIDTH, "")),
-        (_LOOKALIKE, lambda t: F.translate(t, _LOOK, _LIKE)),
+        (_HIDDEN, lambda t: F.translate(F.regexp_replace(t, _ZERO_WIDTH, ""), _LOOK, _LIKE)),
         (_SET_APART, lambda t: F.when(t.rlike(_SPACED), F.regexp_replace(F.regexp_replace(t, _APART, "$1"), "  +", " ")).otherwise(t)),
         (_DIGITS, lambda t: F.array_join(F.transform(F.split(t, " "), lambda w: F.when(w.rlike(_LEET), F.translate(w, "0134578", "oieastb")).otherwise(w)), " ")),
+        (_DRAWN_OUT, lambda t: F.regexp_replace(t, _DRAWN, "$1")),
     ]
     out = F.lower(F.coalesce(text, F.lit("")))
     guarded = lambda sign, change: lambda t: F.when(t.rlike(sign), change(t)).otherwise(t)

@@ -65,6 +65,11 @@ def test_disguises(spark):
     assert [r[0] for r in df.select(A.plain(F.col("t"))).collect()] == ["an idiot here", "idiot", "idiot", "1diot idiot", "plain text", ""]
 
 
+def test_letters_drawn_out(spark):
+    df = spark.createDataFrame([("Stuuupid s t u u u p i d",), ("idiiiiiot, bloody",), ("裸裸裸裸",), ("дуууурак",), ("a1000b 2000 ---",)], "t string")
+    assert [r[0] for r in df.select(A.plain(F.col("t"))).collect()] == ["stupid stupid", "idiot, bloody", "裸", "дypak", "a1000b 2000 ---"]
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(8)
     flat = rng.integers(1, 12, 600)
