@@ -100,10 +100,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of price per district and per quarter, from mergeable summaries with their rank-error bound."""
-    sales = table(spark, d, "sales").select("price", F.explode(F.array(F.struct(F.lit("district").alias("kind"), C("district").alias("name")), F.struct(F.lit("quarter").alias("kind"), C("year_quarter").alias("name")))).alias("g"))
-    sales = sales.select("price", "g.kind", "g.name")
-    s = quantiles.merge(quantiles.summarise(sales, ["kind", "name"], C("price")), ["kind", "name"])
+    """Percentiles of price per boundary (sales just outside its circle), district and quarter, from mergeable summaries
+    with their rank-error bound. A sale counts once in a group, of differing repeats with the least price."""
+    sales = table(spark, d, "sales").where("price is not null").select("txn_id", "price", F.explode(F.array(F.struct(F.lit("district").alias("kind"), C("district").alias("name")), F.struct(F.lit("quarter").alias("kind"), C("year_quarter").alias("name")))).alias("g"))
+    sales = sales.groupBy("g.kind", "g.name", "txn_id").agg(F.min("price").alias("price")).select("kind", "name", "price")
+    ring = _ring_sales(spark, d).select(F.lit("boundary").alias("kind"), C("boundary_id").alias("name"), "price")
+    s = quantiles.merge(quantiles.summarise(sales.unionByName(ring), ["kind", "name"], C("price")), ["kind", "name"])
     q = quantiles.quantiles(s, ["kind", "name"], PROBS)
     return q.select("kind", "name", "n", "err", *(F.get("value", F.lit(i)).alias(f"p{int(p * 100)}") for i, p in enumerate(PROBS)))
 
