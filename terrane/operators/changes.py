@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.operators import asof
+from terrane.session import cut
 
 C = F.col
 
@@ -52,12 +53,35 @@ def change_points(df: DataFrame, key: str, at: list[str], value: str) -> DataFra
 
 def lineage(tree: DataFrame) -> DataFrame:
     """(node, ancestor, steps) of a hierarchy, the node itself first with 0 steps; nodes on or below rings keep only
-    themselves."""
+    themselves, as a hierarchy has no paths for them (``predecessors`` follows rings as well)."""
     p = tree.where(~C("ring")).select(C("node"), "depth", F.posexplode("path").alias("_at", "ancestor"))
     own = tree.where(C("ring")).select("node", C("node").alias("ancestor"), F.lit(0).alias("steps"))
     return p.select("node", "ancestor", (C("depth") - C("_at")).cast("int").alias("steps")).unionByName(own)
 
 
+def predecessors(links: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """(node, ancestor, steps) over links (child, parent): the node itself with 0 steps, then everything above it once,
+    with the least number of steps. Children may have several parents, and links may form rings.
+
+    By doubling: ``reach`` holds all pairs closer than ``step``, ``jump`` those exactly ``step`` apart. A pair further
+    off but closer than 2 * step is a jump and then a pair of ``reach``, so that the rounds are logarithmic in the
+    length; a jump that leads to what is already reached (round a ring) is dropped, which ends the search.
+    """
+    jump = cut(links.where(C("child").isNotNull() & C("parent").isNotNull()).select(C("child").alias("node"), C("parent").alias("ancestor")).distinct())
+    nodes = jump.select("node").unionByName(jump.select(C("ancestor").alias("node"))).distinct()
+    reach = nodes.select("node", C("node").alias("ancestor"), F.lit(0).cast("long").alias("steps"))
+    jump, step = jump.where("node <> ancestor"), 1
+    for _ in range(max_rounds):
+        mid = jump.withColumnRenamed("ancestor", "_mid")
+        further = mid.join(reach.select(C("node").alias("_mid"), "ancestor", "steps"), "_mid").select("node", "ancestor", (C("steps") + step).alias("steps"))
+        reach = cut(reach.unionByName(further).groupBy("node", "ancestor").agg(F.min("steps").alias("steps")))
+        twice = mid.join(jump.withColumnRenamed("node", "_mid"), "_mid").select("node", "ancestor").distinct()
+        jump, step = cut(twice.join(reach, ["node", "ancestor"], "left_anti")), step * 2
+        if jump.isEmpty():
+            return reach
+    raise RuntimeError("links are too long")
+
+
 def in_force(questions: DataFrame, key: str, at: str, events: DataFrame, lines: DataFrame, *, event_key: str, event_at: Column, value: str) -> DataFrame:
     """Each question (key, time) with ``in_force``: the latest event's value up to its time over the key and all its
     ancestors (``lines``: node, ancestor, steps), of one time the nearest ancestor's; NULL where there is none. Keys

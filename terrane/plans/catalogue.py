@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions.text import spaced_postcode, strip_white, year_quarter
-from terrane.operators import asof, assign, battery, changes, density, hierarchy, quality
+from terrane.operators import asof, assign, battery, changes, density, quality
 from terrane.operators import discontinuity as rd
-from terrane.plans.problems import _links
+from terrane.plans.problems import _all_links
 from terrane.plans.sql import SQL  # noqa: F401
 from terrane.sources.tables import table
 
@@ -209,13 +209,14 @@ def grade_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lineage(spark: SparkSession, d: str) -> DataFrame:
-    return changes.lineage(hierarchy.hierarchy(_links(spark, d))).select("node", "ancestor", C("steps").cast("long").alias("steps"))
+    """Every school with itself and all its predecessors, those round a ring once each."""
+    return changes.predecessors(_all_links(spark, d))
 
 
 def lineage_grades(spark: SparkSession, d: str) -> DataFrame:
     """Grade in force for each boundary's school and its predecessors on every 1 March from 2015 to 2025."""
     days = table(spark, d, "boundary").select("urn", F.explode(F.sequence(F.lit(2015), F.lit(2025))).alias("year")).withColumn("day", F.make_date("year", F.lit(3), F.lit(1)))
-    lines = changes.lineage(hierarchy.hierarchy(_links(spark, d)))
+    lines = changes.predecessors(_all_links(spark, d))
     e = _reports(spark, d).where("role = 'current'").groupBy("urn", C("publication_date").cast("date").alias("on_day")).agg(F.max("grade").alias("grade"))
     return changes.in_force(days, "urn", "day", e, lines, event_key="urn", event_at=C("on_day"), value="grade").select("urn", "year", C("in_force").alias("grade"))
 

@@ -150,12 +150,17 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 # ---- p7: hierarchies
 
 
-def _links(spark: SparkSession, d: str) -> DataFrame:
+def _all_links(spark: SparkSession, d: str) -> DataFrame:
+    """(child, parent) of every row, repeats and several parents of one child included."""
     kind = F.lower(strip_white(C("linktype")))
     a, b = strip_white(C("urn")), strip_white(C("linkurn"))
     rows = table(spark, d, "links_edubasealldata").select(a.alias("a"), b.alias("b"), kind.alias("kind")).where("a <> '' and b <> '' and (kind like 'predecessor%' or kind like 'successor%')")
     back = C("kind").startswith("predecessor")
-    return hierarchy.single_parents(rows, F.when(back, C("a")).otherwise(C("b")), F.when(back, C("b")).otherwise(C("a")))
+    return rows.select(F.when(back, C("a")).otherwise(C("b")).alias("child"), F.when(back, C("b")).otherwise(C("a")).alias("parent"))
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.single_parents(_all_links(spark, d), C("child"), C("parent"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
