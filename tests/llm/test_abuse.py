@@ -49,6 +49,12 @@ def test_edge_rows(spark, corpus):
     assert A.score(docs.limit(0), A.train(docs, reviews)).count() == 0
 
 
+def test_sample_bound(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('word ', id % 50, IF(id < 1600, ' you idiot', ' the valve')) AS text")
+    m = A.train(docs, docs.selectExpr("doc_id", "IF(doc_id < 1600, 'insult', 'clean') AS verdict"))
+    assert (int(m.held_out[1].sum()), int((~m.held_out[1]).sum())) == (1600, 2400)
+
+
 def test_no_labels(spark, corpus):
     docs, reviews = corpus
     for r in (reviews.limit(0), reviews.where("verdict = 'clean'"), reviews.where("verdict = 'insult'")):
