@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from terrane.session import cut
 
 CAPACITY = 2048
-#: Search effort: nodes of the search per distinct size, and completions tried per node.
-NODES_PER_SIZE, WIDTH = 2.5, 3
+#: Search effort: nodes of the search at least and per distinct size, completions tried per node, and partial fillings
+#: tried per total of a completion.
+NODES, NODES_PER_SIZE, WIDTH, TRIES = 4_000, 2.5, 3, 200
 #: Parts into which the documents of one size are split for ranking: at least so many, and one more for each so many items.
 SALTS, ITEMS_PER_SALT = 16, 2_000_000
 #: Rows of offsets that may be broadcast.
@@ -101,7 +102,7 @@ def completions(counts: dict[int, int], room: int, taken: int = 0, width: int =
     while len(found) < width and total >= 0:
         if reach[0] >> total & 1:
             stack, tries = [(0, total, ())], 0
-            while stack and len(found) < width and tries < 50:
+            while stack and len(found) < width and tries < TRIES:
                 i, rest, chosen = stack.pop()
                 tries += 1
                 if rest == 0:
@@ -133,7 +134,7 @@ def plan(counts: dict[int, int], cap: int = CAPACITY, nodes: int | None = None,
     left = {s: n for s, n in counts.items() if n}
     if not left:
         return []
-    nodes = int(NODES_PER_SIZE * len(left)) + 500 if nodes is None else nodes
+    nodes = max(NODES, int(NODES_PER_SIZE * len(left)) + 500) if nodes is None else nodes
     least, volume = lower_bound(left, cap), sum(s * n for s, n in left.items())
     best = best_fit(left, cap)
     best_n = sum(n for _, n in best)

@@ -57,6 +57,15 @@ def test_dominance():
     assert next(K.completions({4: 1, 3: 2}, 6)) == (3, 3) and list(K.completions({}, 5)) == [()]
 
 
+def test_completions_found_late():
+    """The third filling comes only after more than 50 partial ones of its total."""
+    r = random.Random(2105)
+    top = r.choice([20, 40, 100, 300])
+    counts = Counter(r.randrange(1, top) for _ in range(r.randrange(10, 60)))
+    found = list(K.completions(dict(counts), r.randrange(top, top * 6)))
+    assert len(found) == 3
+
+
 def _pack(spark, rows, cap=10, **kw):
     df = spark.createDataFrame(rows, "doc_id long, n long").withColumn("size", F.lit("clash"))
     return K.pack(df, "doc_id", F.col("n"), cap, **kw).collect()
