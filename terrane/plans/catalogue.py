@@ -288,7 +288,9 @@ def rd_main(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rd_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return _frame(spark, [e for e in rd.sweep(_sample(spark, d), _MAIN, GRID) if isinstance(e, rd.Estimate)])
+    """A fit per bandwidth; one that cannot run is a row without figures and with the reason as its note."""
+    fits = zip(GRID, rd.sweep(_sample(spark, d), _MAIN, GRID))
+    return _frame(spark, [e if isinstance(e, rd.Estimate) else rd.Estimate(*[None] * 10, bandwidth_m=float(h), note=f"not run: {e}") for h, e in fits])
 
 
 def rd_forms(spark: SparkSession, d: str) -> DataFrame:
