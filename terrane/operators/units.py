@@ -20,7 +20,7 @@ from terrane.functions.text import let
 METRES = {"m": 1.0, "km": 1000.0, "mile": 1609.344, "yard": 0.9144, "foot": 0.3048}
 #: Spellings of units. Fixed values.
 UNIT = r"(of a miles?|miles?|mi|kilomet(?:re|er)s?|kms?|met(?:re|er)s?|mtrs?|m|yards?|yds?|feet|foot|ft)"
-NUMBER = r"(\d{1,3}(?:[, ]\d{3})+(?:\.\d+)?|\d+[.,]\d+|\.\d+|\d+)"
+NUMBER = r"(\d{1,3}(?:[, ]\d{3})+(?!\d)(?:\.\d+)?|\d+[.,]\d+|\.\d+|\d+)"
 #: Wordings that give no exact figure. Fixed values.
 INEXACT = r"\b(about|around|approx\w*|roughly|nearly|almost|circa|withheld)\b|[<>~≈]"
 #: Figures in words, longest first. Fixed values.

@@ -138,7 +138,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     reports = table(spark, d, "ofsted_events").where("role = 'current' and grade between 1 and 4")
     histories = {
         "cut_off": asof.history(cut_offs.where("radius is not null"), "cut_off", C("urn"), F.make_date("entry_year", F.lit(3), F.lit(1)), F.struct("entry_year", "radius")),
-        "report": asof.history(reports, "report", C("urn"), C("publication_date").cast("date"), C("event_id"), [C("publication_date"), C("inspection_start")]),
+        "report": asof.history(reports, "report", C("urn"), C("publication_date").cast("date"), C("event_id"), [C("inspection_start")]),
     }
     reach = F.array_max(F.map_values("radius_by_year"))
     near = _sales_within(spark, d, _circles(spark, d, reach), "date").where("date is not null and distance < reach")
@@ -249,7 +249,7 @@ h AS (SELECT urn, be, bn, m.key y, m.value r FROM c WHERE m.value IS NOT NULL),
 i AS (SELECT urn, be, bn, y, r, make_date(y, 3, 1) a, lead(make_date(y, 3, 1)) OVER (PARTITION BY urn ORDER BY y) z FROM h),
 f AS (SELECT s.txn_id, s.date, i.urn, i.y FROM s JOIN i ON s.date >= i.a AND (i.z IS NULL OR s.date < i.z) WHERE sqrt((s.easting - be) * (s.easting - be) + (s.northing - bn) * (s.northing - bn)) < i.r),
 o AS (SELECT urn, publication_date, inspection_start, event_id FROM ofsted_events WHERE role = 'current' AND grade BETWEEN 1 AND 4 AND publication_date IS NOT NULL)
-SELECT DISTINCT f.txn_id, f.urn, f.y AS entry_year, coalesce((SELECT event_id FROM o WHERE o.urn = f.urn AND o.publication_date::DATE <= f.date ORDER BY publication_date DESC, inspection_start DESC NULLS LAST, event_id DESC LIMIT 1), 0) AS event_id FROM f""",
+SELECT DISTINCT f.txn_id, f.urn, f.y AS entry_year, coalesce((SELECT event_id FROM o WHERE o.urn = f.urn AND o.publication_date::DATE <= f.date ORDER BY publication_date::DATE DESC, inspection_start DESC NULLS LAST, event_id DESC LIMIT 1), 0) AS event_id FROM f""",
     "p7_found": _TREE + "SELECT n.u AS urn, coalesce(t.root, 'cycle') AS root_urn, coalesce(t.depth, -1)::INT AS depth FROM n LEFT JOIN t ON t.u = n.u",
     "p7_paths": _TREE + "SELECT u AS urn, path FROM t",
     "p7_descendants": _TREE + ", d AS (SELECT parent AS ancestor, child AS descendant, 1 AS distance FROM e WHERE child IN (SELECT u FROM t) UNION ALL SELECT d.ancestor, e.child, d.distance + 1 FROM d JOIN e ON e.parent = d.descendant) SELECT ancestor, descendant, distance::INT AS distance FROM d",

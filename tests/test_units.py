@@ -23,7 +23,7 @@ def _run(spark, rows):
         ("¾ mile", 1207.008), ("1½ miles", 2414.016), ("1 ¾ miles", 2816.352), ("3/4 mile", 1207.008), ("1 1/2 miles", 2414.016), ("half a mile", 804.672), ("three quarters of a mile", 1207.008),
         ("one and a half miles", 2414.016), ("a quarter of a mile", 402.336), ("one kilometre", 1000), ("one mile exactly", 1609.344), ("1 mile and 1227 yds", 2731.3128), ("1 km 771 m", 1771),
         ("0.4021 miles (647 m)", 647.1172224), ("738 yards (straight line)", 674.8272), ("up to 0.5878 mi", 945.9724032), ("Cut off - 946 m", 946), ("20,390.00 meters", 20390), (".883 mile", 1421.050752),
-        ("1 469m", 1469), ("1 469.5 M", 1469.5), ("0.54 miles.", 869.04576), ("1158 foot", 352.9584), ("2,355 ft", 717.804), ("furthest child lived 700m, last child offered", 700),
+        ("1 469m", 1469), ("1 469.5 M", 1469.5), ("0.54 miles.", 869.04576), ("1158 foot", 352.9584), ("2,355 ft", 717.804), ("furthest child lived 700m, last child offered", 700), ("0,6468 mile", 1040.9236992), ("0,5791 mile", 931.9711104), ("12,3456 km", 12345.6),
     ],
 )
 def test_readings(spark, text, metres):
@@ -43,6 +43,7 @@ def test_unit_from_text_and_precedence(spark):
     r = _run(spark, [
         (1, "0.5", 804.7, "Table 2020 (distances in miles)", None), (2, "0.5", 900.0, "Table 2020", "table header says miles"), (3, "500 m", 500.0, "all figures in miles", None),
         (4, "1,469", 1343.3, "[yards]", ""), (5, "0.81", 1303.6, "Table", None), (6, "0.81", 999.0, "Table", None), (7, "0.5 miles", None, None, None), (8, "0.5 miles", float("nan"), None, None), (9, "0.5 miles", 0.0, None, None),
+        (10, "0,5158", 830.1, "Table 2020 [miles]", None), (11, "0,5158", 828.81, "Table 2020", "Council quotes miles"),
     ])
     assert (r[1]["unit"], r[1]["source"], r[1]["wrong"]) == ("mile", "text", False)
     assert r[2]["wrong"] and r[2]["source"] == "text"
@@ -51,6 +52,7 @@ def test_unit_from_text_and_precedence(spark):
     assert (r[5]["unit"], r[5]["source"], r[5]["unique"], r[5]["wrong"]) == ("mile", "inferred", True, False)
     assert r[6]["metres"] is None and not r[6]["wrong"]
     assert r[7]["metres"] == pytest.approx(804.672) and not r[7]["wrong"] and not r[8]["wrong"] and r[9]["wrong"]
+    assert r[10]["metres"] == pytest.approx(830.0996352) and not r[10]["wrong"] and r[11]["wrong"]
 
 
 def test_identity_of_three_columns(spark):
@@ -87,7 +89,7 @@ def test_against_brute_force(spark):
         return float(x.replace(",", "."))
 
     U = r"(of a mile|miles?|mi|kilometres?|kms?|met(?:re|er)s?|mtrs?|m|yards?|yds?|feet|foot|ft)(?![a-z])"
-    N = r"(\d{1,3}(?:[, ]\d{3})+(?:\.\d+)?|\d*[.,]?\d+)"
+    N = r"(\d{1,3}(?:[, ]\d{3})+(?!\d)(?:\.\d+)?|\d*[.,]?\d+)"
     want = set()
     for r in rows:
         if r["cutoff_as_published"] is None or r["cutoff_m"] is None:
