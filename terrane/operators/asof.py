@@ -7,9 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.session import hot_keys, salt_of, salts_for
-
-SALTS = 16
+from terrane.functions.text import let
+from terrane.session import BROADCAST_ROWS, ROWS_PER_TASK, Spread
 
 
 def history(df: DataFrame, attribute: str, key: Column, known_from: Column, value: Column, order: list[Column] = ()) -> DataFrame:
@@ -21,14 +20,16 @@ def history(df: DataFrame, attribute: str, key: Column, known_from: Column, valu
     return h.groupBy("key", "known_from").agg(F.max_by("value", "rank").alias("value")).withColumn("attribute", F.lit(attribute))
 
 
-def as_of(events: DataFrame, key: str, at: str, histories: dict[str, DataFrame], salts: int = SALTS, window_keys: list | None = None) -> DataFrame:
+def as_of(events: DataFrame, key: str, at: str, histories: dict[str, DataFrame], rows_per_task: int = ROWS_PER_TASK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Each event with the last value of every attribute known at or before its time; NULL where none was.
 
-    Every attribute keeps its own history, of any type and rhythm; none is widened to the others' changes. Events and
-    histories are co-partitioned by key and merged in time order once; in that stream each attribute is matched
-    separately (its own last value so far) and so comes back as a column of its own. Keys with a large share of the
-    events are spread over ``salts`` partitions, to which only their histories are copied. Nothing later than the
-    event is ever seen: at equal times the change comes first.
+    Every attribute keeps its own history, of any type and rhythm; none is widened to the others' changes. Each is
+    matched separately, and its match comes back as a column of its own (the attributes pivoted to one row again).
+    A history counted small (at most ``broadcast_rows`` changes) is packed into one sorted array per key, which is
+    broadcast and searched by halving, so that events are not shuffled at all. For larger histories events and changes
+    are co-partitioned by key and merged in time order once; keys with more than ``rows_per_task`` events are spread
+    over as many partitions as they need, to which only their histories are copied (by the event's hash: exact
+    repeats of an event stay together). Nothing later than the event is ever seen: at equal times the change comes first.
 
     Events keep all their columns and their number, repeats included; one without key or time gets NULLs. The names
     of the attributes must not be columns of the events.
@@ -36,22 +37,49 @@ def as_of(events: DataFrame, key: str, at: str, histories: dict[str, DataFrame],
     clash = set(histories) & set(events.columns)
     if clash:
         raise ValueError(f"columns already present: {sorted(clash)}")
-    hot = hot_keys(events, key) if window_keys is None else window_keys
-    carry = F.struct(*(F.col(f"`{c}`") for c in events.columns))
+    out, large = events, {}
+    for name, h in histories.items():
+        per_key = h.groupBy("key").agg(F.count("*").alias("n"))
+        total, longest = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).collect()[0]
+        if total > broadcast_rows:
+            large[name] = h
+        else:
+            out = _searched(out, key, at, name, h, int(longest))
+    out = _merged(out, key, at, large, rows_per_task) if large else out
+    return out.select(*(F.col(f"`{c}`") for c in events.columns), *histories)
+
+
+def _searched(events: DataFrame, key: str, at: str, name: str, h: DataFrame, longest: int) -> DataFrame:
+    """The match in a broadcast sorted array of at most ``longest`` changes per key."""
+    packed = h.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.col("known_from").alias("t"), F.col("value").alias("v")))).alias("_h"))
+    packed = packed.select(F.col("key").alias("_k"), "_h")
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(max(1, longest.bit_length())))))
+    when = F.col(f"`{at}`")
+    # the number of changes at or before the event, by adding ever smaller powers of two
+    reached = lambda n, s: F.coalesce(F.get(F.col("_h"), n + s - 1)["t"] <= when, F.lit(False))
+    upto = F.aggregate(steps, F.lit(0), lambda n, s: F.when(reached(n, s), n + s).otherwise(n))
+    j = events.join(F.broadcast(packed), F.col(f"`{key}`") == F.col("_k"), "left")
+    return j.withColumn(name, let(upto, lambda n: F.get(F.col("_h"), n - 1)["v"])).drop("_k", "_h")
+
+
+def _merged(events: DataFrame, key: str, at: str, histories: dict[str, DataFrame], rows_per_task: int) -> DataFrame:
+    """The matches from one sorted stream of events and changes per key, each attribute carrying its own last value."""
+    parts = Spread(events, F.col(f"`{key}`"), rows_per_task)
+    row = F.struct(*(F.col(f"`{c}`") for c in events.columns))
     kinds = {a: h.schema["value"].dataType for a, h in histories.items()}
     empty = {a: F.lit(None).cast(t) for a, t in kinds.items()}
-    e = events.select(
-        F.col(key).alias("_k"), salt_of(F.col(key), hot, F.struct(*(F.col(f"`{c}`") for c in events.columns)), salts).alias("_s"), F.col(at).alias("_t"), F.lit(1).alias("_e"), carry.alias("_row"), *(v.alias(a) for a, v in empty.items())
-    )
+    e = events.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{at}`").alias("_t"), F.lit(1).alias("_e"), row.alias("_row"), *(v.alias(a) for a, v in empty.items()))
+    whole = e.schema["_row"].dataType
     changes = [
-        h.select(
-            F.col("key").alias("_k"), F.explode(salts_for(F.col("key"), hot, salts)).alias("_s"), F.col("known_from").alias("_t"), F.lit(0).alias("_e"), F.lit(None).cast(e.schema["_row"].dataType).alias("_row"),
-            *((F.col("value") if a == b else v).alias(b) for b, v in empty.items()),
+        parts.copied(
+            h.select(F.col("key").alias("_k"), F.col("known_from").alias("_t"), F.lit(0).alias("_e"), F.lit(None).cast(whole).alias("_row"), *((F.col("value") if a == b else v).alias(b) for b, v in empty.items())),
+            F.col("_k"),
         )
         for a, h in histories.items()
     ]
-    w = Window.partitionBy("_k", "_s").orderBy("_t", "_e").rowsBetween(Window.unboundedPreceding, 0)
-    keyed = reduce(DataFrame.unionByName, changes, e.where(F.col("_k").isNotNull() & F.col("_t").isNotNull()))
+    w = Window.partitionBy("_k", "_salt").orderBy("_t", "_e").rowsBetween(Window.unboundedPreceding, 0)
+    timed = parts.salted(e.where(F.col("_k").isNotNull() & F.col("_t").isNotNull()), F.col("_k"), F.col("_row"))
+    keyed = reduce(DataFrame.unionByName, changes, timed)
     matched = keyed.select("_e", "_row", *(F.last(a, ignorenulls=True).over(w).alias(a) for a in kinds)).where("_e = 1")
     lost = e.where(F.col("_k").isNull() | F.col("_t").isNull()).select("_e", "_row", *kinds)
     return matched.unionByName(lost).select("_row.*", *kinds)

@@ -1,72 +1,136 @@
 """Parent-child links to full hierarchies by tree contraction.
 
-Rounds alternate two steps on all nodes at once. Rake: every node without children is removed. Compress: in chains
-of nodes with a single remaining child, an independent set (nodes whose hash is less than their neighbours') is
-spliced out. Both record what they removed, so the number of rounds is logarithmic whatever the depth. A ring of links
-shrinks to a node that is its own parent and can never be raked: such a core exposes a cycle. The records form trees
-no deeper than the number of steps; they are reversed all at once by doubling: each node takes over the path segment
-of the node that it hung on, and hangs on from there.
+Rounds take two steps on all nodes at once. Rake: every node without children is removed. Compress: in chains of nodes
+with a single child, an independent set (nodes whose hash is less than their neighbours') is spliced out, and the
+child hangs on its grandparent. Both record what they removed, so the number of rounds is logarithmic whatever the
+depth. A ring of links shrinks to a node that is its own parent and can never be raked: such a core exposes a cycle.
+Rounds run over the whole cluster until the links left fit one task; the same rounds then go on within that task. The
+records form trees no deeper than the number of steps; they are reversed all at once by doubling: each node takes over
+what the node that it hung on has, and hangs on from there.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.session import cut, hot_keys, salt_of, salts_for
+from terrane.session import ROWS_PER_TASK, Spread, cut, small
 
-SALTS = 16
+#: Links up to which the remaining rounds run within one task.
+LOCAL_LINKS = 50_000
+
+
+def distinct_links(edges: DataFrame, child: Column, parent: Column) -> DataFrame:
+    """Distinct (child, parent) with both given."""
+    return edges.select(child.alias("child"), parent.alias("parent")).where(F.col("child").isNotNull() & F.col("parent").isNotNull()).distinct()
 
 
 def single_parents(edges: DataFrame, child: Column, parent: Column) -> DataFrame:
-    """Distinct (child, parent) with both given; of several parents of one child the least is taken."""
-    e = edges.select(child.alias("child"), parent.alias("parent")).where(F.col("child").isNotNull() & F.col("parent").isNotNull())
-    return e.groupBy("child").agg(F.min("parent").alias("parent"))
+    """Distinct (child, parent) with both given; of several parents of one child the least is taken (those not taken
+    are in ``other_parents``)."""
+    return distinct_links(edges, child, parent).groupBy("child").agg(F.min("parent").alias("parent"))
+
+
+def other_parents(edges: DataFrame, child: Column, parent: Column) -> DataFrame:
+    """(child, parent, kept): the links that ``single_parents`` leaves out, beside the parent that it keeps."""
+    all_ = distinct_links(edges, child, parent)
+    kept = all_.groupBy("child").agg(F.min("parent").alias("kept"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return all_.join(kept, "child").where("parent <> kept")
 
 
 def _round(e: DataFrame, r: int) -> DataFrame:
-    """Flag each link: what = 'rake', 'splice' or 'keep'; links below a spliced node are moved up to its parent."""
-    kids = e.groupBy(F.col("parent").alias("child")).agg(F.lit(1).alias("has"))
-    inner = e.join(kids, "child", "left")
-    leaf = inner.where(F.col("has").isNull()).select("child", "parent", "via", F.lit("rake").alias("what"))
-    stay = inner.where(F.col("has").isNotNull()).drop("has")
-    count = stay.groupBy(F.col("parent").alias("child")).agg(F.count("*").alias("n"), F.min("child").alias("only"))
+    """Flag each link: what = 'rake', 'splice' or 'keep'; the child of a spliced node is moved up to its parent. Joins
+    are on the child, which is unique, so no node's children ever meet in one task."""
+    kids = e.groupBy(F.col("parent").alias("child")).agg(F.count("*").alias("n"), F.min("child").alias("only"))
     h = lambda c: F.xxhash64(c, F.lit(r))
-    mine = (F.col("n") == 1) & (h(F.col("child")) < h(F.col("parent"))) & (h(F.col("child")) < h(F.col("only")))
-    stay = stay.join(count, "child", "left").withColumn("splice", F.coalesce(mine, F.lit(False)))
-    gone = stay.where("splice").select("child", "parent", "via", F.lit("splice").alias("what"))
-    up = gone.select(F.col("child").alias("parent"), F.col("parent").alias("_p"), F.col("via").alias("_v"))
-    kept = stay.where("not splice").join(up, "parent", "left").select(
-        "child", F.coalesce("_p", "parent").alias("parent"),
-        F.when(F.col("_p").isNull(), F.col("via")).otherwise(F.concat("_v", F.array("parent"), "via")).alias("via"), F.lit("keep").alias("what"),
+    chain = (F.col("n") == 1) & (h(F.col("child")) < h(F.col("parent"))) & (h(F.col("child")) < h(F.col("only")))
+    what = F.when(F.col("n").isNull(), "rake").when(chain, "splice").otherwise("keep")
+    e = e.join(kids, "child", "left").withColumn("what", what)
+    moved = e.where("what = 'splice'").select(F.col("only").alias("child"), F.col("child").alias("_c"), F.col("parent").alias("_p"), F.col("hops").alias("_h"), F.col("via").alias("_v"))
+    take = F.col("_p").isNotNull() & (F.col("what") == "keep")
+    return e.join(moved, "child", "left").select(
+        "child", F.when(take, F.col("_p")).otherwise(F.col("parent")).alias("parent"), F.when(take, F.col("_h") + F.col("hops")).otherwise(F.col("hops")).alias("hops"),
+        F.when(take & F.col("_v").isNotNull(), F.concat("_v", F.array("_c"), "via")).otherwise(F.col("via")).alias("via"), "what",
     )
-    return leaf.unionByName(gone).unionByName(kept)
 
 
-def hierarchy(links: DataFrame, salts: int = SALTS, max_rounds: int = 200) -> DataFrame:
+def contract(child: np.ndarray, parent: np.ndarray, hops: np.ndarray, via: list | None) -> list[tuple]:
+    """All rounds on links in memory: (node, up, hops, segment or None) of every node removed; ``up`` is None for
+    what is left of a ring."""
+    names, code = np.unique(np.concatenate([child, parent]), return_inverse=True)
+    n = len(child)
+    node, up = code[:n].copy(), code[n:].copy()
+    hops, rng, out = hops.astype(np.int64).copy(), np.random.default_rng(7), []
+    tail = lambda i: None if via is None else [*via[i], names[node[i]]]
+    live = np.arange(n)
+    while len(live):
+        loops = live[node[live] == up[live]]
+        out += [(names[node[i]], None, 0, None) for i in loops]
+        live = live[node[live] != up[live]]
+        kids = np.bincount(up[live], minlength=len(names))
+        only = np.full(len(names), -1)
+        only[up[live]] = live  # the row of the child, where there is one child
+        h = rng.permutation(len(names))
+        raked = kids[node[live]] == 0
+        one = kids[node[live]] == 1
+        below = np.where(one, node[np.maximum(only[node[live]], 0)], 0)
+        spliced = one & (h[node[live]] < h[up[live]]) & (h[node[live]] < h[below])
+        out += [(names[node[i]], names[up[i]], int(hops[i]), tail(i)) for i in live[raked | spliced]]
+        for i in live[spliced]:
+            k = only[node[i]]
+            up[k], hops[k] = up[i], hops[i] + hops[k]
+            if via is not None:
+                via[k] = [*via[i], names[node[i]], *via[k]]
+        live = live[~(raked | spliced)]
+    return out
+
+
+def _finish(live: DataFrame, schema, paths: bool) -> DataFrame:
+    """The remaining rounds within one task."""
+
+    def run(batches):
+        import pandas as pd
+
+        pdfs = [p for p in batches if len(p)]
+        if not pdfs:
+            return
+        pdf = pd.concat(pdfs, ignore_index=True)
+        rows = contract(pdf["child"].to_numpy(), pdf["parent"].to_numpy(), pdf["hops"].to_numpy(), [list(v) for v in pdf["via"]] if paths else None)
+        yield pd.DataFrame(rows, columns=["node", "up", "hops", "seg"], dtype=object).assign(root=None)[["node", "up", "root", "hops", "seg"]]
+
+    return live.select("child", "parent", "hops", "via").coalesce(1).mapInPandas(run, schema)
+
+
+def hierarchy(links: DataFrame, paths: bool = True, rows_per_task: int = ROWS_PER_TASK, local_links: int = LOCAL_LINKS, max_rounds: int = 200) -> DataFrame:
     """Every node of links (child, parent; one parent per child) with ``root``, ``depth``, ``path`` (from the root to
-    the node itself) and ``ring``.
+    the node itself; NULL if ``paths`` is false, which spares the arrays) and ``ring``.
 
     Nodes on a ring or below one get ``ring`` true and NULL root, depth and path. A node that is its own parent is a
-    ring. Empty links give no rows. Parents with a large share of the children are spread over ``salts`` partitions
-    where paths are handed down; contraction itself never gathers a node's children.
+    ring. Links with a NULL are left out; empty links give no rows. A node on which more than ``rows_per_task`` others
+    hang is spread over several partitions where results are handed down; contraction itself never gathers a node's
+    children. ``local_links``: links up to which the rounds go on within one task.
     """
     node = links.schema["child"].dataType
-    paths = f"array<{node.simpleString()}>"
-    e = cut(links.select("child", "parent", F.array().cast(paths).alias("via")))
-    hot = hot_keys(e, "parent")
-    roots = e.select(F.col("parent").alias("node")).distinct().join(e.select(F.col("child").alias("node")), "node", "left_anti")
-    # (node, up, seg): the path of node is the path of up, then seg; NULL up: seg is the whole path, NULL on a ring
-    done = [roots.select("node", F.lit(None).cast(node).alias("up"), F.array("node").alias("seg"))]
-    live = e
+    name = node.simpleString()
+    schema = f"node {name}, up {name}, root {name}, hops long, seg array<{name}>"
+    none = F.lit(None).cast(f"array<{name}>")
+    via = F.array().cast(f"array<{name}>") if paths else none
+    live = cut(links.where(F.col("child").isNotNull() & F.col("parent").isNotNull()).select("child", "parent", F.lit(1).cast("long").alias("hops"), via.alias("via")))
+    roots = live.select(F.col("parent").alias("node")).distinct().join(live.select(F.col("child").alias("node")), "node", "left_anti")
+    no = F.lit(None).cast(name)
+    # (node, up, root, hops, seg): node hangs hops below up, and its path is that of up, then seg; NULL up: all is
+    # known, and a NULL root is a ring
+    done = [roots.select("node", no.alias("up"), F.col("node").alias("root"), F.lit(0).cast("long").alias("hops"), (F.array("node") if paths else none).alias("seg"))]
     for r in range(max_rounds):
-        core = live.where(F.col("child") == F.col("parent"))
+        if small(live, local_links):
+            done.append(_finish(live, schema, paths))
+            break
+        loops = live.where(F.col("child") == F.col("parent"))
         flagged = cut(_round(live.where(F.col("child") != F.col("parent")), r))
-        done.append(core.select(F.col("child").alias("node"), F.lit(None).cast(node).alias("up"), F.lit(None).cast(paths).alias("seg")))
-        done.append(flagged.where("what <> 'keep'").select(F.col("child").alias("node"), F.col("parent").alias("up"), F.concat("via", F.array("child")).alias("seg")))
+        done.append(loops.select(F.col("child").alias("node"), no.alias("up"), no.alias("root"), F.lit(0).cast("long").alias("hops"), none.alias("seg")))
+        done.append(flagged.where("what <> 'keep'").select(F.col("child").alias("node"), F.col("parent").alias("up"), no.alias("root"), "hops", F.when(F.col("via").isNotNull(), F.concat("via", F.array("child"))).alias("seg")))
         live = flagged.where("what = 'keep'").drop("what")
-        if live.isEmpty():
-            break
     else:
         raise RuntimeError("links did not contract")
     t = cut(_all(done))
@@ -74,10 +138,12 @@ def hierarchy(links: DataFrame, salts: int = SALTS, max_rounds: int = 200) -> Da
         open_ = t.where(F.col("up").isNotNull())
         if open_.isEmpty():
             break
-        known = t.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("seg").alias("_seg"), F.explode(salts_for(F.col("node"), hot, salts)).alias("_s"))
-        open_ = open_.withColumn("_s", salt_of(F.col("up"), hot, F.col("node"), salts)).join(known, ["up", "_s"])
-        t = cut(t.where(F.col("up").isNull()).unionByName(open_.select("node", F.col("_up").alias("up"), F.concat("_seg", "seg").alias("seg"))))
-    return t.select("node", F.get("seg", F.lit(0)).alias("root"), F.when(F.col("seg").isNotNull(), F.size("seg") - 1).alias("depth"), F.col("seg").alias("path"), F.col("seg").isNull().alias("ring"))
+        parts = Spread(open_, F.col("up"), rows_per_task)
+        known = parts.copied(t.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"), F.col("hops").alias("_hops"), F.col("seg").alias("_seg")), F.col("up"))
+        joined = parts.salted(open_.drop("root"), F.col("up"), F.col("node")).join(known, ["up", "_salt"])
+        t = cut(t.where(F.col("up").isNull()).unionByName(joined.select("node", F.col("_up").alias("up"), F.col("_root").alias("root"), (F.col("_hops") + F.col("hops")).alias("hops"), F.concat("_seg", "seg").alias("seg"))))
+    ring = F.col("root").isNull()
+    return t.select("node", "root", F.when(~ring, F.col("hops")).cast("int").alias("depth"), F.when(~ring, F.col("seg")).alias("path"), ring.alias("ring"))
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:

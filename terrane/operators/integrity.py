@@ -6,21 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.text import squash_key
-from terrane.session import hot_keys, salt_of, salts_for
-
-SALTS = 16
+from terrane.session import ROWS_PER_TASK, Spread
 
 
 def reference_status(
     refs: DataFrame, parents: DataFrame, *, ref_key: Column, ref_period: Column, parent_key: Column, parent_from: Column, parent_to: Column,
-    carry: dict[str, Column], spread: Column, salts: int = SALTS,
+    carry: dict[str, Column], spread: Column, rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Each reference with the state of the parent that it names.
 
     Parents are reduced to one row per key with its distinct validity intervals (months, so a bounded set). Both
     sides are then co-partitioned and sorted on (key, salt) and merged linearly: a sort-merge join, in which each
-    reference meets its key's intervals once. Keys with a large share of all references are spread over ``salts``
-    partitions and only their parents are copied.
+    reference meets its key's intervals once. Keys with more than ``rows_per_task`` references are spread over as many
+    partitions as they need (by ``spread``) and only their parents are copied.
 
     Result: ``carry`` columns, ``ref_key``, ``ref_period``, ``status``:
     ``valid`` (an interval holds the period), ``missing`` (no such key), ``deleted`` (an interval ended before the
@@ -31,15 +29,13 @@ def reference_status(
     r = refs.select(*(c.alias(n) for n, c in carry.items()), squash_key(ref_key).alias("ref_key"), ref_period.alias("ref_period"), F.xxhash64(spread).alias("_spread"))
     named = r.where(F.col("ref_key") != "")
     unnamed = r.where(F.coalesce(F.col("ref_key"), F.lit("")) == "").select(*carry, "ref_key", "ref_period", F.lit("none").alias("status"))
-    hot = hot_keys(named.select("ref_key"), "ref_key")
+    parts = Spread(named, F.col("ref_key"), rows_per_task)
     p = (
         parents.select(squash_key(parent_key).alias("ref_key"), F.struct(parent_from.alias("a"), F.nullif(parent_to, F.lit("")).alias("b")).alias("spell"))
         .where(F.col("ref_key") != "")
         .groupBy("ref_key").agg(F.array_sort(F.collect_set("spell")).alias("spells"))
-        .withColumn("_salt", F.explode(salts_for(F.col("ref_key"), hot, salts)))
     )
-    named = named.withColumn("_salt", salt_of(F.col("ref_key"), hot, F.col("_spread"), salts))
-    met = named.join(p.hint("merge"), ["ref_key", "_salt"], "left")
+    met = parts.salted(named, F.col("ref_key"), F.col("_spread")).join(parts.copied(p, F.col("ref_key")).hint("merge"), ["ref_key", "_salt"], "left")
     at = F.col("ref_period")
     holds = F.exists("spells", lambda s: (s["a"] <= at) & (s["b"].isNull() | (at <= s["b"])))
     ended = F.exists("spells", lambda s: (s["b"] < at) & s["a"].isNotNull())

@@ -142,8 +142,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     }
     reach = F.array_max(F.map_values("radius_by_year"))
     near = _sales_within(spark, d, _circles(spark, d, reach), "date").where("date is not null and distance < reach")
-    events = near.select("txn_id", "urn", "date", "distance").distinct()
-    known = asof.as_of(events, "urn", "date", histories)
+    known = asof.as_of(near.select("txn_id", "urn", "date", "distance"), "urn", "date", histories)
     return known.where("distance < cut_off.radius").select("txn_id", "urn", C("cut_off.entry_year").alias("entry_year"), F.coalesce("report", F.lit(0).cast("long")).alias("event_id")).distinct()
 
 
@@ -164,7 +163,7 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    t = hierarchy.hierarchy(_links(spark, d))
+    t = hierarchy.hierarchy(_links(spark, d), paths=False)
     return t.select(C("node").alias("urn"), F.coalesce("root", F.lit("cycle")).alias("root_urn"), F.coalesce("depth", F.lit(-1)).cast("int").alias("depth"))
 
 
@@ -177,7 +176,12 @@ def p7_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.hierarchy(_links(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_metres, p3_found, p3_regions, p4_found, p4_percentiles, p5_found, p5_valid, p5_reasons, p6_found, p7_found, p7_paths, p7_descendants)}
+def p7_other_parents(spark: SparkSession, d: str) -> DataFrame:
+    """Links that the trees leave out, as their child has a lesser parent as well."""
+    return hierarchy.other_parents(_all_links(spark, d), C("child"), C("parent"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_metres, p3_found, p3_regions, p4_found, p4_percentiles, p5_found, p5_valid, p5_reasons, p6_found, p7_found, p7_paths, p7_descendants, p7_other_parents)}
 
 # ---- the same in DuckDB's SQL
 
@@ -251,6 +255,10 @@ f AS (SELECT s.txn_id, s.date, i.urn, i.y FROM s JOIN i ON s.date >= i.a AND (i.
 o AS (SELECT urn, publication_date, inspection_start, event_id FROM ofsted_events WHERE role = 'current' AND grade BETWEEN 1 AND 4 AND publication_date IS NOT NULL)
 SELECT DISTINCT f.txn_id, f.urn, f.y AS entry_year, coalesce((SELECT event_id FROM o WHERE o.urn = f.urn AND o.publication_date::DATE <= f.date ORDER BY publication_date::DATE DESC, inspection_start DESC NULLS LAST, event_id DESC LIMIT 1), 0) AS event_id FROM f""",
     "p7_found": _TREE + "SELECT n.u AS urn, coalesce(t.root, 'cycle') AS root_urn, coalesce(t.depth, -1)::INT AS depth FROM n LEFT JOIN t ON t.u = n.u",
+    "p7_other_parents": f"""
+WITH r AS (SELECT {_trim("urn")} a, {_trim("linkurn")} b, lower({_trim("linktype")}) k FROM links_edubasealldata),
+l AS (SELECT DISTINCT CASE WHEN k LIKE 'predecessor%' THEN a ELSE b END child, CASE WHEN k LIKE 'predecessor%' THEN b ELSE a END parent FROM r WHERE a <> '' AND b <> '' AND (k LIKE 'predecessor%' OR k LIKE 'successor%'))
+SELECT child, parent, kept FROM (SELECT *, min(parent) OVER (PARTITION BY child) kept FROM l) WHERE parent <> kept""",
     "p7_paths": _TREE + "SELECT u AS urn, path FROM t",
     "p7_descendants": _TREE + ", d AS (SELECT parent AS ancestor, child AS descendant, 1 AS distance FROM e WHERE child IN (SELECT u FROM t) UNION ALL SELECT d.ancestor, e.child, d.distance + 1 FROM d JOIN e ON e.parent = d.descendant) SELECT ancestor, descendant, distance::INT AS distance FROM d",
 }

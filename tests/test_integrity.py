@@ -6,9 +6,9 @@ PARENTS = "key string, a string, b string, extra int"
 REFS = "id long, ref string, month string, key string"
 
 
-def _status(spark, refs, parents, salts=4):
+def _status(spark, refs, parents, rows_per_task=100):
     r, p = spark.createDataFrame(refs, REFS), spark.createDataFrame(parents, PARENTS)
-    return reference_status(r, p, ref_key=F.col("ref"), ref_period=F.col("month"), parent_key=F.col("key"), parent_from=F.col("a"), parent_to=F.col("b"), carry={"id": F.col("id"), "key": F.col("key")}, spread=F.col("id"), salts=salts)
+    return reference_status(r, p, ref_key=F.col("ref"), ref_period=F.col("month"), parent_key=F.col("key"), parent_from=F.col("a"), parent_to=F.col("b"), carry={"id": F.col("id"), "key": F.col("key")}, spread=F.col("id"), rows_per_task=rows_per_task)
 
 
 def test_states_of_the_parent(spark):
