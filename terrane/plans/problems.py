@@ -1,4 +1,4 @@
-"""Queries p1 to p7: data problems of the domain tables, each through its operator, over whole tables."""
+"""Queries p1 to p7 (without p4, which is in the llm subpackage): data problems of the domain tables, each through its operator, over whole tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions.text import WHITE, strip_white, year_quarter
-from terrane.operators import asof, hierarchy, integrity, quantiles, records, regions, units
+from terrane.operators import asof, hierarchy, integrity, records, regions, units
 from terrane.sources.tables import table
 
 C = F.col
@@ -50,12 +50,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 # ---- p3: points in regions
 
 
-def _circles(spark: SparkSession, d: str, radius: Column, *more: Column) -> DataFrame:
+def circles(spark: SparkSession, d: str, radius: Column, *more: Column) -> DataFrame:
     """Centres beside their regions: (region, cx, cy, ...) and the edges of circles of the given radius."""
     return table(spark, d, "boundary").select(C("urn"), C("easting").alias("cx"), C("northing").alias("cy"), radius.alias("reach"), *more)
 
 
-def _sales_within(spark: SparkSession, d: str, centres: DataFrame, *cols: str) -> DataFrame:
+def sales_within(spark: SparkSession, d: str, centres: DataFrame, *cols: str) -> DataFrame:
     """(sale columns, region, distance, on_boundary) by crossing parity, joined to the centres for an exact test."""
     sales = table(spark, d, "sales").select("txn_id", C("easting").alias("e"), C("northing").alias("n"), *cols)
     edges = regions.circle_edges(centres, "urn", "cx", "cy", C("reach"))
@@ -64,7 +64,7 @@ def _sales_within(spark: SparkSession, d: str, centres: DataFrame, *cols: str) -
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    near = _sales_within(spark, d, _circles(spark, d, C("radius_m")))
+    near = sales_within(spark, d, circles(spark, d, C("radius_m")))
     return near.where("distance < reach").select("txn_id", "urn").distinct()
 
 
@@ -76,40 +76,6 @@ def p3_regions(spark: SparkSession, d: str) -> DataFrame:
     return inside.where("not on_boundary").select("txn_id", C("region").alias("urn")).distinct()
 
 
-# ---- p4: percentiles of large columns
-
-RING_M = 400.0
-PROBS = [0.1, 0.25, 0.5, 0.75, 0.9]
-
-
-def _ring_sales(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct sales just outside each circle: (boundary_id, txn_id, price); of differing repeats the least price."""
-    near = _sales_within(spark, d, _circles(spark, d, C("radius_m") + RING_M, C("radius_m").alias("inner")), "price")
-    ring = near.where("distance >= inner and distance < reach and price is not null")
-    return ring.groupBy(C("urn").alias("boundary_id"), "txn_id").agg(F.min("price").alias("price"))
-
-
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    ring = _ring_sales(spark, d)
-    s = quantiles.merge(quantiles.summarise(ring, ["boundary_id"], C("price")), ["boundary_id"])
-    q = quantiles.quantiles(s, ["boundary_id"], [0.5, 0.500001])
-    bracket = q.select("boundary_id", F.array_min("low").alias("low"), F.array_max("high").alias("high"))
-    exact = quantiles.exact_median(ring, "boundary_id", "price", bracket)
-    published = table(spark, d, "per_boundary").select("boundary_id", "median_price_outside")
-    return published.join(exact, "boundary_id").where(F.abs(C("median_price_outside") - C("median")) > 0.05 * C("median")).select("boundary_id").distinct()
-
-
-def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of price per boundary (sales just outside its circle), district and quarter, from mergeable summaries
-    with their rank-error bound. A sale counts once in a group, of differing repeats with the least price."""
-    sales = table(spark, d, "sales").where("price is not null").select("txn_id", "price", F.explode(F.array(F.struct(F.lit("district").alias("kind"), C("district").alias("name")), F.struct(F.lit("quarter").alias("kind"), C("year_quarter").alias("name")))).alias("g"))
-    sales = sales.groupBy("g.kind", "g.name", "txn_id").agg(F.min("price").alias("price")).select("kind", "name", "price")
-    ring = _ring_sales(spark, d).select(F.lit("boundary").alias("kind"), C("boundary_id").alias("name"), "price")
-    s = quantiles.merge(quantiles.summarise(sales.unionByName(ring), ["kind", "name"], C("price")), ["kind", "name"])
-    q = quantiles.quantiles(s, ["kind", "name"], PROBS)
-    return q.select("kind", "name", "n", "err", *(F.get("value", F.lit(i)).alias(f"p{int(p * 100)}") for i, p in enumerate(PROBS)))
-
-
 # ---- p5: rows that fail to parse
 
 
@@ -141,7 +107,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
         "report": asof.history(reports, "report", C("urn"), C("publication_date").cast("date"), C("event_id"), [C("inspection_start")]),
     }
     reach = F.array_max(F.map_values("radius_by_year"))
-    near = _sales_within(spark, d, _circles(spark, d, reach), "date").where("date is not null and distance < reach")
+    near = sales_within(spark, d, circles(spark, d, reach), "date").where("date is not null and distance < reach")
     known = asof.as_of(near.select("txn_id", "urn", "date", "distance"), "urn", "date", histories)
     return known.where("distance < cut_off.radius").select("txn_id", "urn", C("cut_off.entry_year").alias("entry_year"), F.coalesce("report", F.lit(0).cast("long")).alias("event_id")).distinct()
 
@@ -181,7 +147,7 @@ def p7_other_parents(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.other_parents(_all_links(spark, d), C("child"), C("parent"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_metres, p3_found, p3_regions, p4_found, p4_percentiles, p5_found, p5_valid, p5_reasons, p6_found, p7_found, p7_paths, p7_descendants, p7_other_parents)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_metres, p3_found, p3_regions, p5_found, p5_valid, p5_reasons, p6_found, p7_found, p7_paths, p7_descendants, p7_other_parents)}
 
 # ---- the same in DuckDB's SQL
 
@@ -237,12 +203,6 @@ e AS (SELECT urn, unnest(range(1, len(v))) i, v FROM p),
 k AS (SELECT urn, v[i][1] x1, v[i][2] y1, v[i + 1][1] x2, v[i + 1][2] y2 FROM e),
 s AS (SELECT DISTINCT txn_id, easting x, northing y FROM sales WHERE easting IS NOT NULL AND northing IS NOT NULL AND NOT isnan(easting) AND NOT isnan(northing))
 SELECT DISTINCT txn_id, urn FROM (SELECT txn_id, x, y, urn FROM s, k GROUP BY ALL HAVING count(*) FILTER (WHERE (y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * (x2 - x1) / (y2 - y1)) % 2 = 1)""",
-    "p4_found": """
-WITH r AS (SELECT b.urn, s.txn_id, min(s.price) price FROM sales s, boundary b WHERE b.radius_m IS NOT NULL AND s.price IS NOT NULL AND NOT isnan(s.easting) AND NOT isnan(s.northing)
-  AND sqrt((s.easting - b.easting) * (s.easting - b.easting) + (s.northing - b.northing) * (s.northing - b.northing)) >= b.radius_m
-  AND sqrt((s.easting - b.easting) * (s.easting - b.easting) + (s.northing - b.northing) * (s.northing - b.northing)) < b.radius_m + 400 GROUP BY ALL),
-m AS (SELECT urn, quantile_cont(price, 0.5) med FROM r GROUP BY urn)
-SELECT DISTINCT p.boundary_id FROM per_boundary p JOIN m ON p.boundary_id = m.urn WHERE abs(p.median_price_outside - med) > 0.05 * med""",
     "p5_found": f"""
 SELECT line_id FROM pp_raw WHERE NOT coalesce(regexp_full_match(rtrim(raw, chr(13) || chr(10)), '{_VALID}')
   AND try_cast(concat(regexp_extract(rtrim(raw, chr(13) || chr(10)), '^{_VALID}$', 1), regexp_extract(rtrim(raw, chr(13) || chr(10)), '^{_VALID}$', 2)) AS DATE) IS NOT NULL, false)""",
