@@ -17,16 +17,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.text import let
+from terrane.session import cut
 
 #: Folder of the public vocabulary files.
 FOLDER = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 #: White space as the pattern means it (Unicode's White_Space), spelled out since \s is ASCII only in Java. Fixed values.
 _S = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-#: The tokenizer's pattern. Fixed value.
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-#: The maps' buckets, and the bounds of the map of frequent words: this many words of at most so many characters.
-BUCKETS, HOT_WORDS, HOT_CHARS = 1 << 15, 1 << 15, 64
+#: The tokenizer's pattern, the most frequent kind of word first and without backtracking where it can't help. Fixed value.
+PATTERN = rf" ?\p{{L}}++| ?\p{{N}}++|'(?:[stmd]|re|ve|ll)| ?[^{_S}\p{{L}}\p{{N}}]++|[{_S}]+(?![^{_S}])|[{_S}]+"
+#: The maps' buckets, and the bounds of the map of frequent words: at most this many words of at most so many characters.
+BUCKETS, HOT_WORDS, HOT_CHARS = 1 << 15, 40_000, 64
+#: Classes of a word's count per doubling, of which one is the limit of frequent words; tasks that fold them.
+BANDS, FOLD_TASKS = 8, 24
 _NONE = 2**31 - 1
 
 
@@ -125,11 +128,20 @@ class Tokenizer:
     def fitted(self, texts: DataFrame, column: str, hot_words: int = HOT_WORDS) -> Tokenizer:
         """The same tokenizer with a map of the corpus' most frequent words, at most ``hot_words`` of them.
 
-        Words are counted over all texts with map-side aggregation; the frequent ones are folded on the executors
-        and only they reach the driver. Ties are cut arbitrarily: the map is a store, not a vocabulary.
+        Words are counted over all texts with map-side aggregation. A histogram of the counts, by classes of the
+        logarithm and so of some hundred rows whatever the corpus, gives the least count whose words are few enough;
+        these are folded once each on the executors, and only they reach the driver. The map is a store, not a
+        vocabulary: what it lacks (words of one occurrence among them) is folded where it stands, with equal results.
         """
-        counts = texts.select(F.explode(self.words(F.col(column))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-        top = counts.where(F.length("word") <= HOT_CHARS).orderBy(F.desc("n")).limit(hot_words)
+        words = texts.select(F.explode(self.words(F.col(column))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+        counts = cut(words.where((F.col("n") > 1) & (F.length("word") <= HOT_CHARS)).withColumn("band", F.floor(F.log2("n") * BANDS)))
+        least, total = None, 0
+        for r in sorted(counts.groupBy("band").agg(F.count("*").alias("words")).collect(), reverse=True):
+            total += r["words"]
+            if total > hot_words:
+                break
+            least = r["band"]
+        top = counts.where(F.col("band") >= F.lit(least).cast("long")).repartition(FOLD_TASKS, "word")
         rows = top.select(word_bucket(F.col("word")).alias("b"), "word", let(self.ranks, lambda r: self.fold(F.col("word"), r)).alias("ids")).collect()
         return Tokenizer(self.ranks, literal_map([(r["b"], r["word"], r["ids"]) for r in rows], "array<int>"))
 
