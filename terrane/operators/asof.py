@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.functions.text import let
+from terrane.functions.search import upto
 from terrane.session import BROADCAST_ROWS, ROWS_PER_TASK, Spread
 
 
@@ -53,13 +53,8 @@ def _searched(events: DataFrame, key: str, at: str, name: str, h: DataFrame, lon
     """The match in a broadcast sorted array of at most ``longest`` changes per key."""
     packed = h.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.col("known_from").alias("t"), F.col("value").alias("v")))).alias("_h"))
     packed = packed.select(F.col("key").alias("_k"), "_h")
-    steps = F.array(*(F.lit(1 << i) for i in reversed(range(max(1, longest.bit_length())))))
-    when = F.col(f"`{at}`")
-    # the number of changes at or before the event, by adding ever smaller powers of two
-    reached = lambda n, s: F.coalesce(F.get(F.col("_h"), n + s - 1)["t"] <= when, F.lit(False))
-    upto = F.aggregate(steps, F.lit(0), lambda n, s: F.when(reached(n, s), n + s).otherwise(n))
     j = events.join(F.broadcast(packed), F.col(f"`{key}`") == F.col("_k"), "left")
-    return j.withColumn(name, let(upto, lambda n: F.get(F.col("_h"), n - 1)["v"])).drop("_k", "_h")
+    return j.withColumn(name, F.get(F.col("_h"), upto(F.col("_h"), "t", F.col(f"`{at}`"), longest) - 1)["v"]).drop("_k", "_h")
 
 
 def _merged(events: DataFrame, key: str, at: str, histories: dict[str, DataFrame], rows_per_task: int) -> DataFrame:
