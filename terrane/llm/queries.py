@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrane.llm import abuse, packing, quantiles, tokenizer
@@ -60,6 +60,17 @@ def p9_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(docs, "doc_id", t.length(C("text")))
 
 
+def p9_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the containers hold: documents placed, containers over the capacity, places that overlap, and containers
+    left out of the numbering."""
+    p = cut(p9_pack(spark, d))
+    after = F.lead("position").over(Window.partitionBy("container").orderBy("position"))
+    placed = p.where("container is not null").withColumn("_over", (C("position") + C("size") > after).cast("long"))
+    per = placed.groupBy("container").agg(F.sum("size").alias("held"), F.max(C("position") + C("size")).alias("end"), F.sum("_over").alias("over"))
+    one = per.agg(F.count(F.when((C("held") > packing.CAPACITY) | (C("end") > packing.CAPACITY), 1)).alias("overfull"), F.coalesce(F.sum("over"), F.lit(0)).alias("overlapping"), (F.coalesce(F.max("container") + 1, F.lit(0)) - F.count("*")).alias("skipped"))
+    return one.crossJoin(p.agg(F.countDistinct("doc_id").alias("documents")))  # two single rows
+
+
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return abuse.score(docs, abuse.train(docs, table(spark, d, "content_reviews")))
@@ -81,7 +92,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return by.withColumn("rate", C("n_found") / C("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_percentiles, p8_ids, p9_pack, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_percentiles, p8_ids, p9_pack, p9_check, p10_found, p10_scores, p10_rates)}
 SQL: dict[str, str] = {
     "p4_found": """
 WITH r AS (SELECT b.urn, s.txn_id, min(s.price) price FROM sales s, boundary b WHERE b.radius_m IS NOT NULL AND s.price IS NOT NULL AND NOT isnan(s.easting) AND NOT isnan(s.northing)
@@ -89,4 +100,5 @@ WITH r AS (SELECT b.urn, s.txn_id, min(s.price) price FROM sales s, boundary b W
   AND sqrt((s.easting - b.easting) * (s.easting - b.easting) + (s.northing - b.northing) * (s.northing - b.northing)) < b.radius_m + 400 GROUP BY ALL),
 m AS (SELECT urn, quantile_cont(price, 0.5) med FROM r GROUP BY urn)
 SELECT DISTINCT p.boundary_id FROM per_boundary p JOIN m ON p.boundary_id = m.urn WHERE abs(p.median_price_outside - med) > 0.05 * med""",
+    "p9_check": "SELECT 0::BIGINT AS overfull, 0::BIGINT AS overlapping, 0::BIGINT AS skipped, count(DISTINCT doc_id) AS documents FROM documents",
 }

@@ -27,7 +27,7 @@ _S = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205
 #: The tokenizer's pattern, the most frequent kind of word first and without backtracking where it can't help. Fixed value.
 PATTERN = rf" ?\p{{L}}++| ?\p{{N}}++|'(?:[stmd]|re|ve|ll)| ?[^{_S}\p{{L}}\p{{N}}]++|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: The maps' buckets, and the bounds of the map of frequent words: at most this many words of at most so many characters.
-BUCKETS, HOT_WORDS, HOT_CHARS = 1 << 15, 40_000, 64
+BUCKETS, HOT_WORDS, HOT_CHARS = 1 << 15, 40_000, 512
 #: Classes of a word's count per doubling, of which one is the limit of frequent words; tasks that fold them.
 BANDS, FOLD_TASKS = 8, 24
 _NONE = 2**31 - 1

@@ -37,7 +37,11 @@ def test_small_plans_are_least(seed):
     shapes = K.plan(dict(Counter(items)), 20, nodes=20_000)
     assert Counter(s for shape, n in shapes for s in shape * n) == Counter(items) and all(sum(shape) <= 20 for shape, _ in shapes)
     used = sum(n for _, n in shapes)
-    assert K.lower_bound(dict(Counter(items)), 20) <= _least(items, 20) <= used <= _least(items, 20) + (1 if len(items) > 8 else 0)
+    least = _least(items, 20)
+    assert K.lower_bound(dict(Counter(items)), 20) <= least <= used <= least + 1
+    exact = K.least_plan(dict(Counter(items)), 20)
+    assert Counter(s for shape, n in exact for s in shape * n) == Counter(items) and all(sum(shape) <= 20 for shape, _ in exact)
+    assert sum(n for _, n in exact) == least
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -87,6 +91,9 @@ def test_places(spark):
         v.sort()
         assert all(a + s <= b for (a, s), (b, _) in itertools.pairwise(v)) and v[-1][0] + v[-1][1] <= 10
     assert set(spans) == set(range(len(spans)))
+    some = [r for r in rows if r[0] is not None and r[0] < 14 and r[1]]
+    exact = _pack(spark, some, exact=True)
+    assert len({r["container"] for r in exact}) == _least([n for _, n in some], 10) and sum(r["size"] for r in exact) == sum(n for _, n in some)
     assert sorted((r["doc_id"], r["container"], r["size"]) for r in got if r["size"] == 0) == [(1002, None, 0), (1003, None, 0)]
     assert sorted((r["piece"], r["size"]) for r in got if r["doc_id"] == 1000) == [(0, 10), (1, 10), (2, 10), (3, 5)]
     assert not [r for r in got if r["size"] < 10 and r["doc_id"] is not None and 1000 > r["doc_id"] and r["piece"] > 0]
