@@ -30,10 +30,12 @@ _SPACED = r"(?<![\p{L}\p{N}])\p{L}(?:[ .*_\-]\p{L}){3,}(?![\p{L}\p{N}])"
 _APART = r"(?<![\p{L}\p{N}])(\p{L})[ .*_\-](?=\p{L}(?![\p{L}\p{N}]))"
 _LEET = r"\p{L}[0134578]{1,2}\p{L}"
 #: Invisible characters or look-alike letters: one sign for both, so that a text is read once for the two.
-_HIDDEN = r"[\x{00AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{0400}-\x{052F}]"
-#: Cheap signs of letters set apart and of digits for letters, tried on every text before the replacements.
-_SET_APART = r"(?<=[ .*_\-]\p{L})[ .*_\-]\p{L}[ .*_\-]\p{L}(?![\p{L}\p{N}])"
-_DIGITS = r"(?<=[a-z])[0134578]{1,2}[a-z]"
+#: The first range turns ordinary characters away with one comparison.
+_HIDDEN = r"[\x{00AD}-\x{FEFF}&&[\x{00AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{0400}-\x{052F}]]"
+#: Cheap signs of letters set apart and of digits for letters, tried on every text before the replacements; they start
+#: at the rarer character and look back from it.
+_SET_APART = r"[ .*_\-](?=\p{L}[ .*_\-]\p{L}(?![\p{L}\p{N}]))(?<=[ .*_\-]\p{L}[ .*_\-])"
+_DIGITS = r"[0134578](?<=[a-z][0134578])[0134578]?[a-z]"
 #: Letters drawn out, and the cheap sign of them.
 _DRAWN, _DRAWN_OUT = r"(\p{L})\1{2,}", r"(\p{L})\1\1"
 #: Letters of other scripts that look like Latin ones. Fixed values.
@@ -150,7 +152,9 @@ class Model:
     toxic: KneserNey
     ordinary: KneserNey
     threshold: float = 0.0
+    judged: bool = False  # whether there were enough documents for folds
     held_out: tuple | None = None  # (held-out score, label) of each fitted document
+    seen: dict | None = None  # held-out score of each fitted document by its key
 
     def ratios(self, g: Grams, slots: int = 1 << 21) -> np.ndarray:
         """Log-likelihood ratio of each token. Trigrams already met are taken from a table of fixed size, in which a
@@ -242,7 +246,7 @@ def fit(flat: list[np.ndarray], toxic: np.ndarray, folds: int = FOLDS, rounds: i
             if not (over & bad).any():
                 break
             chosen, plain_ = over & bad, ~over & ~bad
-    return Model(kn(chosen), kn(plain_), threshold, held_out=(held, toxic))
+    return Model(kn(chosen), kn(plain_), threshold, np.isfinite(held).any(), held_out=(held, toxic))
 
 
 def labels(reviews: DataFrame) -> DataFrame:
@@ -257,17 +261,23 @@ def train(docs: DataFrame, reviews: DataFrame, toxic_docs: int = TOXIC_DOCS, cle
     lab = labels(reviews).withColumn("h", F.xxhash64("doc_id"))
     take = lab.where("toxic").orderBy("h").limit(toxic_docs).unionByName(lab.where("not toxic").orderBy("h").limit(clean_docs)).select("doc_id", "toxic")
     # the sample is bounded by its parameters, so it may be broadcast and collected
-    rows = docs.select("doc_id", "text").join(F.broadcast(take), "doc_id").select("toxic", tokens(F.col("text")).alias("t")).toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(take), "doc_id").select("doc_id", "toxic", tokens(F.col("text")).alias("t")).toArrow()
     flat = [x.values.to_numpy(zero_copy_only=False).astype(np.int64) if x.is_valid and len(x.as_py()) else np.zeros(0, np.int64) for x in rows["t"]]
     toxic = np.array(rows["toxic"].to_pylist(), dtype=bool)
     if not len(toxic) or toxic.all() or not toxic.any():
         return Model(KneserNey(Grams.of(np.zeros(0, np.int64), np.zeros(0, bool)), Table(np.zeros(0, np.int64), np.zeros(0)), 0.0), KneserNey(Grams.of(np.zeros(0, np.int64), np.zeros(0, bool)), Table(np.zeros(0, np.int64), np.zeros(0)), 0.0), float("inf"))
-    return fit(flat, toxic)
+    m = fit(flat, toxic)
+    m.seen = {}
+    if m.judged:
+        for k, v in zip(rows["doc_id"].to_pylist(), m.held_out[0].tolist()):
+            m.seen[k] = max(v, m.seen.get(k, -np.inf))
+    return m
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: list[str] = ()) -> DataFrame:
     """(key, carried columns, score, toxic) of every row: the score of its most toxic passage, -Infinity for a text without words
-    (NULL, empty, blank). Whole texts are read, in one pass without a shuffle; repeated rows stay."""
+    (NULL, empty, blank). Whole texts are read, in one pass without a shuffle; repeated rows stay. A document that the
+    model was fitted on gets the score of the fold that had not seen it, so that its review is not merely remembered."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(cloudpickle.dumps(model))  # bounded by the sample that was fitted
     schema = docs.select(key, *carry).schema.add("score", "double").add("toxic", "boolean")
@@ -285,6 +295,9 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             first = np.zeros(len(flat), bool)
             first[off[:-1][np.diff(off) > 0]] = True
             out = _score_docs(m, Grams.of(flat, first), doc_of[flat != _END], len(ts)) if len(flat) else np.full(len(ts), -np.inf)
+            if m.seen:
+                for i, k in enumerate(b.column(0).to_pylist()):
+                    out[i] = m.seen.get(k, out[i])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out), pa.array(out > m.threshold)], names=[key, *carry, "score", "toxic"])
 
     return docs.select(key, *carry, tokens(F.col(text)).alias("t")).mapInArrow(run, schema)
