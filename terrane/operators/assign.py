@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.operators import regions
+from terrane.session import broadcast_if_small, cut
 
 C = F.col
 
@@ -27,12 +28,21 @@ def candidate_pairs(points: DataFrame, x: str, y: str, circles: DataFrame, *, ke
     return j.where(F.abs("d_signed") < reach).select(*points.columns, C("_key").alias(key), C("_r").alias(radius), "d_signed")
 
 
-def assign_nearest(pairs: DataFrame, point: str, region: str, near: float = 400.0) -> DataFrame:
+def assign_nearest(pairs: DataFrame, point: str, region: str, near: float = 400.0, kind: str | None = None, apart: list[tuple[str, str]] = ()) -> DataFrame:
     """One pair per point. A pair outside its region is contaminated, and dropped, if the point lies inside another
-    region; of the rest the nearest line wins, ties by the region's key. Adds ``n_near``, the number of regions less
-    than ``near`` away, counted before the rule. Exact repeats of a pair count once; a NULL point is one point."""
+    region that is an alternative; of the rest the nearest line wins, ties by the region's key. Adds ``n_near``, the
+    number of regions less than ``near`` away, counted before the rule. Exact repeats of a pair count once; a NULL
+    point is one point. Regions are alternatives for one another unless ``apart`` names the two values of their
+    ``kind`` (in either order, without case); a NULL kind is an alternative for all.
+    """
     w = Window.partitionBy(point)
-    p = pairs.distinct().withColumns({"_in": F.sum((C("d_signed") > 0).cast("int")).over(w), "n_near": F.sum((F.abs("d_signed") < near).cast("int")).over(w)})
+    inside = lambda cond: F.sum((C("d_signed") > 0).cast("int") * cond.cast("int")).over(w)
+    p = pairs.distinct().withColumns({"_in": inside(F.lit(True)), "n_near": F.sum((F.abs("d_signed") < near).cast("int")).over(w)})
+    if kind and apart:
+        own = F.lower(C(kind))
+        both = [(a.lower(), b.lower()) for pair in apart for a, b in (pair, pair[::-1])]
+        other = sum((F.when(own == a, inside(F.coalesce(own == b, F.lit(False)))).otherwise(0) for a, b in both), F.lit(0))
+        p = p.withColumn("_in", C("_in") - other)
     p = p.where((C("d_signed") > 0) | (C("_in") == 0))
     return p.withColumn("_rank", F.row_number().over(w.orderBy(F.abs("d_signed"), region))).where("_rank = 1").drop("_rank", "_in")
 
@@ -45,9 +55,8 @@ def assign_in_place(points: DataFrame, x: str, y: str, circles: DataFrame, *, ke
     k = lambda v: F.floor(v / cell)
     c = c.withColumn("_i", F.explode(F.sequence(k(C(cx) - span), k(C(cx) + span)))).withColumn("_j", F.explode(F.sequence(k(C(cy) - span), k(C(cy) + span))))
     cells = c.groupBy("_i", "_j").agg(F.array_sort(F.collect_list(F.struct(C(key).alias("k"), C(cx).cast("double").alias("x"), C(cy).cast("double").alias("y"), C(radius).cast("double").alias("r")))).alias("_near"))
-    small = cells.limit(regions.BROADCAST_CELLS + 1).count() <= regions.BROADCAST_CELLS
     p = points.where(C(x).isNotNull() & C(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)).withColumns({"_i": k(C(x)), "_j": k(C(y))})
-    j = p.join(F.broadcast(cells) if small else cells, ["_i", "_j"])
+    j = p.join(broadcast_if_small(cells), ["_i", "_j"])
     d = F.filter(F.transform("_near", lambda b: F.struct(b["k"].alias("k"), circle_distance(C(x), C(y), b["x"], b["y"], b["r"]).alias("d"))), lambda b: F.abs(b["d"]) < reach)
     j = j.withColumn("_d", d).withColumn("_any", F.exists("_d", lambda b: b["d"] > 0))
     valid = F.filter("_d", lambda b: (b["d"] > 0) | ~C("_any"))
@@ -63,7 +72,7 @@ def nearest(points: DataFrame, x: str, y: str, targets: DataFrame, *, target: st
     in all get those there are. ``other_than``: a column of the points that names a target not to be taken.
     """
     keep = [x, y] + ([other_than] if other_than else [])
-    p = points.where(C(x).isNotNull() & C(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)).select(*keep).distinct()
+    p = cut(points.where(C(x).isNotNull() & C(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)).select(*keep).distinct())
     t = targets.where(C(tx).isNotNull() & C(ty).isNotNull()).select(C(target).alias("target"), C(tx).cast("double").alias("_tx"), C(ty).cast("double").alias("_ty")).distinct()
     box = t.agg(F.min("_tx"), F.max("_tx"), F.min("_ty"), F.max("_ty")).collect()[0]
     if box[0] is None:
@@ -81,7 +90,9 @@ def nearest(points: DataFrame, x: str, y: str, targets: DataFrame, *, target: st
         if other_than:
             c = c.where(~C("target").eqNullSafe(C(other_than)))
         c = c.withColumn("distance", F.sqrt((C(x) - C("_tx")) * (C(x) - C("_tx")) + (C(y) - C("_ty")) * (C(y) - C("_ty"))))
-        best = c.groupBy(*keep).agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "target"))), 1, k).alias("_b"))
+        # the k least, kept as such before the shuffle too: no point's candidates are ever gathered
+        order = Window.partitionBy(*keep).orderBy("distance", "target")
+        best = c.withColumn("_r", F.row_number().over(order)).where(C("_r") <= k).groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("distance", "target"))).alias("_b"))
         if last:
             found = best
         else:
@@ -90,7 +101,7 @@ def nearest(points: DataFrame, x: str, y: str, targets: DataFrame, *, target: st
         out = rows if out is None else out.unionByName(rows)
         if last:
             return out
-        left = p.alias("p").join(found.alias("f"), [C(f"p.{n}").eqNullSafe(C(f"f.{n}")) for n in keep], "left_anti")
+        left = cut(p.alias("p").join(found.alias("f"), [C(f"p.{n}").eqNullSafe(C(f"f.{n}")) for n in keep], "left_anti"))
         if left.isEmpty():
             return out
         p, size = left, size * 4
@@ -107,16 +118,30 @@ def ring_distance(x: Column, y: Column, edges: Column) -> Column:
     return F.array_min(F.transform(edges, one))
 
 
-def polygon_pairs(points: DataFrame, x: str, y: str, polygons: DataFrame, *, key: str, wkt: str, reach: float) -> DataFrame:
+def polygon_pairs(points: DataFrame, x: str, y: str, polygons: DataFrame, *, key: str, wkt: str, reach: float, strip: float = 500.0) -> DataFrame:
     """(point columns, key, d_signed) of points less than ``reach`` from a polygon's line: distance to the nearest
-    edge, with the sign from crossing parity. The polygon's own extent, widened, limits the pairs."""
+    edge, with the sign from crossing parity (holes and several parts work by parity; parts of one region must not
+    overlap). A point meets only the edges whose widened extent reaches its cell, and for the parity those of its
+    latitude strip. Points without coordinates and polygons without a valid outline give no pairs.
+    """
     e = regions.polygon_edges(polygons, key, wkt)
-    whole = e.groupBy("region", "west", "east", "south", "north").agg(F.collect_list("edge").alias("_ring"))
-    arc = lambda a, b, c, d: F.struct(F.lit(0).alias("side"), a.alias("x1"), b.alias("y1"), c.alias("x2"), d.alias("y2"), F.least(b, d).alias("lo"), F.greatest(b, d).alias("hi"))
-    w, ea, s, n = C("west") - reach, C("east") + reach, C("south") - reach, C("north") + reach
-    box = whole.select("region", w.alias("west"), ea.alias("east"), s.alias("south"), n.alias("north"), F.explode(F.array(arc(w, s, w, n), arc(ea, s, ea, n))).alias("edge"))
-    near = regions.points_in_regions(points, C(x), C(y), box).drop("crossings", "on_boundary")
-    j = near.join(whole.select("region", "_ring"), "region")
-    crossed = F.size(F.filter("_ring", lambda q: (q["lo"] <= C(y)) & (C(y) < q["hi"]) & (q["x1"] + (C(y) - q["y1"]) * (q["x2"] - q["x1"]) / F.when(q["y2"] != q["y1"], q["y2"] - q["y1"]) > C(x))))
-    d = ring_distance(C(x), C(y), C("_ring"))
-    return j.withColumn("d_signed", F.when(crossed % 2 == 1, d).otherwise(-d)).where(F.abs("d_signed") < reach).select(*points.columns, C("region").alias(key), "d_signed")
+    k = lambda v, size: F.floor(v / size)
+    span = lambda a, b: F.sequence(k(F.least(a, b) - reach, reach), k(F.greatest(a, b) + reach, reach))
+    near = e.withColumn("_i", F.explode(span(C("edge.x1"), C("edge.x2")))).withColumn("_j", F.explode(span(C("edge.y1"), C("edge.y2"))))
+    near = near.groupBy("_i", "_j", C("region").alias("_region")).agg(F.collect_list("edge").alias("_edges"))
+    level = e.withColumn("_strip", F.explode(F.sequence(k(C("edge.lo"), strip), k(C("edge.hi"), strip)))).groupBy("_strip", C("region").alias("_region")).agg(F.collect_list("edge").alias("_ring"))
+    p = points.select(F.struct(*(F.col(f"`{c}`") for c in points.columns)).alias("_row"), C(x).cast("double").alias("_x"), C(y).cast("double").alias("_y"))
+    p = p.where(C("_x").isNotNull() & C("_y").isNotNull() & (F.abs("_x") < 1e15) & (F.abs("_y") < 1e15)).withColumns({"_i": k(C("_x"), reach), "_j": k(C("_y"), reach), "_strip": k(C("_y"), strip)})
+    j = p.join(broadcast_if_small(near), ["_i", "_j"]).withColumn("_d", ring_distance(C("_x"), C("_y"), C("_edges"))).where(C("_d") < reach).drop("_edges")
+    j = j.join(broadcast_if_small(level), ["_strip", "_region"], "left")
+    east = lambda q: q["x1"] + (C("_y") - q["y1"]) * (q["x2"] - q["x1"]) / F.when(q["y2"] != q["y1"], q["y2"] - q["y1"]) > C("_x")
+    crossed = F.size(F.filter(F.coalesce("_ring", F.array()), lambda q: (q["lo"] <= C("_y")) & (C("_y") < q["hi"]) & east(q)))
+    return j.select(*(C("_row").getField(c).alias(c) for c in points.columns), C("_region").alias(key), F.when(crossed % 2 == 1, C("_d")).otherwise(-C("_d")).alias("d_signed"))
+
+
+def region_pairs(points: DataFrame, x: str, y: str, areas: DataFrame, *, key: str, cx: str, cy: str, radius: str, wkt: str, reach: float) -> DataFrame:
+    """(point columns, key, radius, d_signed) of points less than ``reach`` from a region's line: a region with a
+    radius is a circle round its centre, one without is its polygon."""
+    round_ = candidate_pairs(points, x, y, areas.where(C(radius).isNotNull()), key=key, cx=cx, cy=cy, radius=radius, reach=reach)
+    drawn = polygon_pairs(points, x, y, areas.where(C(radius).isNull()), key=key, wkt=wkt, reach=reach)
+    return round_.unionByName(drawn.withColumn(radius, F.lit(None).cast(areas.schema[radius].dataType)))

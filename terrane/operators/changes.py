@@ -82,12 +82,45 @@ def predecessors(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     raise RuntimeError("links are too long")
 
 
+def over_lines(events: DataFrame, lines: DataFrame, event_key: str) -> DataFrame:
+    """The events of every node's whole line: columns of the events, ``node`` and ``steps``; ``lines`` (node, ancestor,
+    steps) holds the node itself with 0 steps."""
+    return lines.select("node", C("ancestor").alias("_a"), "steps").join(events, C("_a") == C(f"`{event_key}`")).drop("_a")
+
+
+def with_own(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """Lines, and for each key (one column) that they lack the key itself alone."""
+    own = keys.toDF("node").where("node is not null").distinct().join(lines.select("node").distinct(), "node", "left_anti")
+    return lines.select("node", "ancestor", "steps").unionByName(own.select("node", C("node").alias("ancestor"), F.lit(0).cast("long").alias("steps")))
+
+
+def line_history(events: DataFrame, lines: DataFrame, *, event_key: str, at: list[str], value: str) -> DataFrame:
+    """The change points of each node's whole line: its events and its ancestors' in the order of ``at``, of one moment
+    the nearer ancestor's first, where the value differs from the one before."""
+    w = over_lines(events, lines, event_key)
+    return change_points(w, "node", [at[0], "steps", *at[1:]], value)
+
+
 def in_force(questions: DataFrame, key: str, at: str, events: DataFrame, lines: DataFrame, *, event_key: str, event_at: Column, value: str) -> DataFrame:
-    """Each question (key, time) with ``in_force``: the latest event's value up to its time over the key and all its
-    ancestors (``lines``: node, ancestor, steps), of one time the nearest ancestor's; NULL where there is none. Keys
-    that ``lines`` lacks have themselves alone."""
-    own = questions.select(C(key).alias("node")).where("node is not null").distinct().join(lines.select("node").distinct(), "node", "left_anti")
-    reach = lines.select("node", "ancestor", "steps").unionByName(own.select("node", C("node").alias("ancestor"), F.lit(0).alias("steps")))
-    e = events.select(C(event_key).alias("ancestor"), event_at.alias("_at"), C(value).alias("_v"))
-    h = asof.history(reach.join(e, "ancestor"), "in_force", C("node"), C("_at"), C("_v"), [-C("steps")])
+    """Each question (key, time) with the struct ``in_force`` (``value``, ``at``, ``source``): the latest event's value
+    up to its time over the key and all its ancestors, its time and whose it was; of one time the nearest ancestor's,
+    and of equally near ones the greatest value's. NULL where there is none. Keys that ``lines`` lacks have themselves
+    alone."""
+    e = events.select(C(f"`{event_key}`").alias("_key"), event_at.alias("_at"), C(f"`{value}`").alias("_v"))
+    met = over_lines(e, with_own(lines, questions.select(key)), "_key")
+    held = F.struct(C("_v").alias("value"), C("_at").alias("at"), C("_key").alias("source"))
+    h = asof.history(met.where(C("_v").isNotNull()), "in_force", C("node"), C("_at"), held, [-C("steps")])
     return asof.as_of(questions, key, at, {"in_force": h})
+
+
+def line_start(lines: DataFrame, dates: DataFrame, key: str, date: str) -> DataFrame:
+    """(node, known, first) per line: ``known`` is false where the furthest ancestor (of equally far ones the greatest)
+    has no date, so that the line began before the records; else ``first`` is the least date of the line."""
+    d = dates.groupBy(C(f"`{key}`").alias("ancestor")).agg(F.min(date).alias("_d"))
+    per = lines.join(d, "ancestor", "left").groupBy("node").agg(F.max_by("_d", F.struct("steps", "ancestor")).alias("_last"), F.min("_d").alias("_first"))
+    return per.select("node", C("_last").isNotNull().alias("known"), F.when(C("_last").isNotNull(), C("_first")).alias("first"))
+
+
+def open_on(day: Column, opened: Column, closed: Column) -> Column:
+    """Whether a place was open on a day: begun by then (NULL: before the records) and not closed by then (NULL: open)."""
+    return (opened.isNull() | (opened <= day)) & (closed.isNull() | (closed > day))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,38 +34,26 @@ def binned_means(df: DataFrame, x: str, y: str, width: float) -> DataFrame:
     return g.select("bin", ((C("bin") + 0.5) * float(width)).alias("centre"), "mean", "sd", "n")
 
 
-@dataclass
-class DensityResult:
-    theta: float
-    se: float
-    z: float
-    p_value: float
-    f_inside: float
-    f_outside: float
-    n: int
-    bin_m: float
-    bandwidth_m: float
-
-
-def _intercept(points: list[tuple[float, float]], h: float) -> float:
-    w = [(x, y, 1 - abs(x) / h) for x, y in points if abs(x) < h]
-    if len(w) < 3:
-        raise ValueError("too few bins on one side")
-    s0, s1, s2 = (sum(v * x**k for x, _, v in w) for k in range(3))
-    t0, t1 = (sum(v * y * x**k for x, y, v in w) for k in range(2))
-    return (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1)
-
-
-def density_test(df: DataFrame, x: str, width: float = 10.0, h: float = 400.0) -> DensityResult:
-    """Log difference of the density at 0 from local-linear fits to the histogram on either side. Only the bins, as
-    many as range over width, reach the driver."""
-    rows = histogram(df, x, width).collect()
-    n = sum(r["n"] for r in rows)
-    scale = n * width
-    f_in = _intercept([(r["centre"], r["n"] / scale) for r in rows if r["centre"] > 0], h)
-    f_out = _intercept([(r["centre"], r["n"] / scale) for r in rows if r["centre"] < 0], h)
-    if f_in <= 0 or f_out <= 0:
-        raise ValueError("no density at the line")
-    theta = math.log(f_in) - math.log(f_out)
-    se = math.sqrt(1 / (n * h) * 24 / 5 * (1 / f_in + 1 / f_out))
-    return DensityResult(theta, se, theta / se, normal_two_sided(theta / se), f_in, f_out, n, width, h)
+def density_step(df: DataFrame, x: str, width: float = 10.0, h: float = 400.0) -> dict:
+    """The log step of the density at 0, from weighted lines through the histogram's bins on either side, as ``step``,
+    ``error``, ``p``, the densities ``inside`` and ``outside`` of the line, ``rows``, and ``reason`` ('' if it ran:
+    there are at least three bins within ``h`` on either side, and the lines end above 0). All sums are made in Spark;
+    one row reaches the driver."""
+    bins = histogram(df, x, width)
+    total = bins.agg(F.sum("n").alias("total"))
+    w = F.greatest(F.lit(0.0), 1 - F.abs("centre") / h)
+    sums = {"s0": w, "s1": w * C("centre"), "s2": w * C("centre") * C("centre"), "t0": w * C("n"), "t1": w * C("n") * C("centre")}
+    sides = bins.where(F.abs("centre") < h).groupBy((C("centre") > 0).alias("inside")).agg(F.count("*").alias("bins"), *(F.sum(v).alias(k) for k, v in sums.items()))
+    det = C("s0") * C("s2") - C("s1") * C("s1")
+    ends = sides.where("bins >= 3").select("inside", ((C("s2") * C("t0") - C("s1") * C("t1")) / det).alias("at_line"))
+    side = lambda inside: F.max(F.when(C("inside") == inside, C("at_line")))
+    r = ends.agg(side(True).alias("inside"), side(False).alias("outside")).crossJoin(total).collect()[0]  # single rows
+    out = dict.fromkeys(("step", "error", "p", "inside", "outside"), None) | {"rows": r["total"] or 0, "reason": ""}
+    if r["inside"] is None or r["outside"] is None:
+        return out | {"reason": "fewer than three bins on a side"}
+    out |= {k: r[k] / (r["total"] * width) for k in ("inside", "outside")}
+    if min(out["inside"], out["outside"]) <= 0:
+        return out | {"reason": "no density at the line"}
+    step = math.log(out["inside"] / out["outside"])
+    error = math.sqrt(4.8 / (r["total"] * h) * (1 / out["inside"] + 1 / out["outside"]))  # 24/5: of the triangular kernel at a line
+    return out | {"step": step, "error": error, "p": normal_two_sided(step / error)}

@@ -1,49 +1,32 @@
 """Local-linear discontinuity estimates with fixed effects, from one grouped aggregate of weighted moments.
 
-Every regressor but the powers of the running variable is constant within a cell of (cluster, side, fixed effects),
-so all cross-products, per cluster, are exact sums of cell moments. Spark makes the moments in one aggregate; the
-algebra on matrices of the size of the number of regressors runs at the driver.
+Every regressor is, within a cell of (cluster, side, fixed effects), a constant times a power of the running variable.
+So a cell needs only the sums of w x^k and w y x^k, and all cross-products are sums of these over cells. Spark makes
+the moments of any number of specifications in one aggregate over one scan; what remains at the driver is algebra on
+matrices of the size of the number of regressors. A cluster's part of it holds only the regressors that occur in it.
 """
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions.special import t_critical, t_two_sided
+from terrane.session import broadcast_if_small
 
 C = F.col
 #: Six-point weights of the wild bootstrap, ascending. Fixed values.
 SIX_POINTS = np.array([-np.sqrt(1.5), -1.0, -np.sqrt(0.5), np.sqrt(0.5), 1.0, np.sqrt(1.5)])
+#: Bootstrap draws handled at a time.
+CHUNK = 1000
+_CONST, _INSIDE = 0, 1
 
 
-@dataclass
-class Estimate:
-    """One fit, in metres and in the outcome's unit."""
-
-    tau: float
-    se: float
-    ci_low: float
-    ci_high: float
-    p_value: float
-    df_inference: int
-    n_obs: int
-    n_inside: int
-    n_outside: int
-    n_clusters: int
-    bandwidth_m: float
-    cutoff_m: float = 0.0
-    donut_m: float = 0.0
-    poly: int = 1
-    p_wild_bootstrap: float | None = None
-    label: str = ""
-    note: str = ""
-
-    def row(self) -> dict:
-        return asdict(self)
+class CannotFit(ValueError):
+    """A specification that the rows don't allow, with the reason."""
 
 
 @dataclass
@@ -66,202 +49,309 @@ class Spec:
     label: str = ""
     where: list = field(default_factory=list)
 
+    def columns(self) -> set[str]:
+        return {self.outcome, self.running, self.cluster, *self.fe}
 
-def window(df: DataFrame, s: Spec) -> DataFrame:
-    """Rows of the fit with ``_x`` (running variable from the cut-off), ``_y`` and ``_w`` (triangular weight). NULL
-    and NaN in either variable leave the row out; |x| < h is strict, the donut keeps its edge, x = 0 is outside."""
-    x, y, r = C(s.running).cast("double") - s.cutoff, C(s.outcome).cast("double"), C(s.running).cast("double")
-    d = df.where(r.isNotNull() & ~F.isnan(r) & y.isNotNull() & ~F.isnan(y) & (F.abs(x) < s.h))
+
+@dataclass(frozen=True)
+class Jump:
+    """The step of the outcome at the line under a specification, or the reason why there is none."""
+
+    spec: Spec
+    size: float | None = None
+    error: float | None = None
+    clusters: int | None = None
+    rows_inside: int | None = None
+    rows_outside: int | None = None
+    bootstrap_p: float | None = None
+    reason: str = ""
+
+    def interval(self) -> tuple[float | None, float | None]:
+        """95 % by t with one degree of freedom less than there are clusters."""
+        if self.size is None:
+            return None, None
+        reach = t_critical(self.clusters - 1) * self.error
+        return self.size - reach, self.size + reach
+
+    def p(self) -> float | None:
+        return t_two_sided(self.size / self.error, self.clusters - 1) if self.size is not None and self.error > 0 else None
+
+    def record(self) -> dict:
+        """The columns of result tables."""
+        low, high = self.interval()
+        ran, s = self.size is not None, self.spec
+        return {
+            "label": s.label, "note": f"not run: {self.reason}" if self.reason else "", "bandwidth_m": s.h, "cutoff_m": s.cutoff, "donut_m": s.donut, "poly": s.poly,
+            "tau": self.size, "se": self.error, "ci_low": low, "ci_high": high, "p_value": self.p(), "p_wild_bootstrap": self.bootstrap_p,
+            "n_inside": self.rows_inside, "n_outside": self.rows_outside, "n_obs": self.rows_inside + self.rows_outside if ran else None, "n_clusters": self.clusters, "df_inference": self.clusters - 1 if ran else None,
+        }
+
+
+_TYPES = {"label": "string", "note": "string", **dict.fromkeys(("poly", "n_inside", "n_outside", "n_obs", "n_clusters", "df_inference"), "long")}
+
+
+def jump_table(spark: SparkSession, jumps: list[Jump]) -> DataFrame:
+    """One row per jump, with the change in percent; those that could not run have the reason as their note."""
+    names = list(Jump(Spec()).record())
+    df = spark.createDataFrame([tuple(j.record().values()) for j in jumps], ", ".join(f"{n} {_TYPES.get(n, 'double')}" for n in names))
+    return df.withColumns({out: F.expm1(c) * 100 for out, c in (("pct", "tau"), ("pct_low", "ci_low"), ("pct_high", "ci_high"))})
+
+
+def _kept(s: Spec) -> tuple[Column, Column, Column]:
+    """Whether a row is in the window, its running variable from the cut-off, and its outcome."""
+    r, y = C(s.running).cast("double"), C(s.outcome).cast("double")
+    x = r - s.cutoff
+    keep = r.isNotNull() & ~F.isnan(r) & y.isNotNull() & ~F.isnan(y) & (F.abs(x) < s.h)
     if s.donut:
-        d = d.where(F.abs(x) >= s.donut)
+        keep = keep & (F.abs(x) >= s.donut)
     if s.side:
-        d = d.where(r > 0 if s.side == "inside" else r <= 0)
+        keep = keep & (r > 0 if s.side == "inside" else r <= 0)
     for cond in s.where:
-        d = d.where(cond)
-    return d.withColumns({"_x": x, "_y": y, "_w": 1 - F.abs(x) / s.h})
+        keep = keep & cond
+    return keep, x, y
+
+
+def window(df: DataFrame, s: Spec) -> DataFrame:
+    """Rows of the fit with ``_x`` (running variable from the cut-off), ``_y`` and ``_w`` (triangular weight). NULL
+    and NaN in either variable leave the row out; |x| < h is strict, the donut keeps its edge, x = 0 is outside."""
+    keep, x, y = _kept(s)
+    return df.where(keep).withColumns({"_x": x, "_y": y, "_w": 1 - F.abs(x) / s.h})
 
 
-def moments(df: DataFrame, s: Spec, more: list[Column] = ()) -> DataFrame:
-    """Cell moments: sums of w x^k and w y x^k, x scaled by the bandwidth, per (``more``, cluster, fixed effects, side)."""
-    x = C("_x") / s.h
-    power = lambda k: F.lit(1.0) if k == 0 else F.pow(x, F.lit(k)) if k > 1 else x
-    keys = [C(s.cluster).cast("string").alias("cluster"), *(C(f).cast("string").alias(f"fe_{f}") for f in s.fe), (C("_x") > 0).alias("inside")]
-    sums = [F.sum(C("_w") * power(k)).alias(f"s{k}") for k in range(2 * s.poly + 1)] + [F.sum(C("_w") * C("_y") * power(k)).alias(f"t{k}") for k in range(s.poly + 1)]
-    return window(df, s).groupBy(*more, *keys).agg(F.count("*").alias("n"), *sums)
+def _effects(s: Spec) -> Column:
+    return F.array(*(F.coalesce(C(f).cast("string"), F.lit("None")) for f in s.fe)).cast("array<string>")
 
 
-class Design:
-    """The regressors of each cell as coefficients of the powers of x, and the Gram matrices built from them."""
+def moments(df: DataFrame, specs: list[Spec]) -> DataFrame:
+    """Cell moments of all specifications from one scan: sums of w x^k (s0, s1, ...) and w y x^k (t0, t1, ...), x scaled
+    by the bandwidth, per (spec, cluster, effects, inside). A row goes into every specification whose window holds it;
+    their partial sums are combined before the shuffle."""
+    def one(i: int, s: Spec) -> Column:
+        keep, x, y = _kept(s)
+        cell = F.struct(F.lit(i).alias("spec"), F.coalesce(C(s.cluster).cast("string"), F.lit("None")).alias("cluster"), _effects(s).alias("effects"), (x > 0).alias("inside"))
+        return F.when(keep, F.struct(cell.alias("cell"), (x / s.h).alias("x"), y.alias("y"), (1 - F.abs(x) / s.h).alias("w")))
+
+    degree = max(s.poly for s in specs)
+    rows = df.select(F.explode(F.array_compact(F.array(*(one(i, s) for i, s in enumerate(specs))))).alias("r")).select("r.cell.*", "r.x", "r.y", "r.w")
+    power = lambda k: F.lit(1.0) if k == 0 else C("x") if k == 1 else F.pow("x", F.lit(k))
+    sums = [F.sum(C("w") * power(k)).alias(f"s{k}") for k in range(2 * degree + 1)] + [F.sum(C("w") * C("y") * power(k)).alias(f"t{k}") for k in range(degree + 1)]
+    return rows.groupBy("spec", "cluster", "effects", "inside").agg(F.count("*").alias("n"), *sums)
+
+
+class System:
+    """The weighted normal equations of one specification, in one block per cluster.
+
+    Column 0 is the constant, 1 the step; then x, x inside, x^2, ...; then the levels of each effect but its first,
+    in the order of their names; then own slopes of each cluster but the first.
+    """
 
     def __init__(self, cells, s: Spec, least_clusters: int = 2):
-        """``cells``: pandas frame of ``moments``."""
-        inside = cells["inside"].to_numpy(bool)
-        if not inside.any() or inside.all():
-            raise ValueError(f"{s.label or 'fit'}: no observations on one side within h={s.h:g}")
-        cells = cells.assign(cluster=cells["cluster"].fillna("None"), **{f"fe_{f}": cells[f"fe_{f}"].fillna("None") for f in s.fe})
-        cells = cells.sort_values("cluster", kind="stable").reset_index(drop=True)
-        self.s, p = s, s.poly
-        code, names = cells["cluster"].factorize(sort=True)
-        self.clusters = list(names)
-        if len(self.clusters) < least_clusters:
-            raise ValueError(f"{s.label or 'fit'}: need at least {least_clusters} clusters, got {len(self.clusters)}")
-        at: dict = {n: i for i, n in enumerate(["const", "inside", *(n for k in range(1, p + 1) for n in (f"x{k}", f"x{k}_inside"))])}
-        for f in s.fe:
-            for v in sorted(cells[f"fe_{f}"].unique())[1:]:
-                at[(f, v)] = len(at)
-        if s.slopes:
-            for g in self.clusters[1:]:
-                at[("slope", g)] = len(at)
-                at[("slope_inside", g)] = len(at)
+        """``cells``: pandas frame of ``moments`` for this specification."""
+        if not len(cells):
+            raise CannotFit("the window holds no rows")
         i = cells["inside"].to_numpy(float)
-        n_cells, K, G = len(cells), len(at), len(self.clusters)
-        B = [np.zeros((n_cells, K)) for _ in range(p + 1)]  # coefficients of x^k in each cell's regressors
-        B[0][:, at["const"]], B[0][:, at["inside"]] = 1.0, i
+        if i.min() == i.max():
+            raise CannotFit(f"all rows of the window lie {'inside' if i[0] else 'outside'}")
+        self.names, code = np.unique(cells["cluster"].to_numpy(str), return_inverse=True)
+        if len(self.names) < least_clusters:
+            raise CannotFit(f"{len(self.names)} cluster where {least_clusters} are needed")
+        self.spec, n, p = s, len(cells), s.poly
+        cols, powers, coefs = [np.full(n, _CONST), np.full(n, _INSIDE)], [0, 0], [np.ones(n), i]
         for k in range(1, p + 1):
-            B[k][:, at[f"x{k}"]], B[k][:, at[f"x{k}_inside"]] = 1.0, i
-        rows = np.arange(n_cells)
-        for f in s.fe:
-            col = cells[f"fe_{f}"].map(lambda v, f=f: at.get((f, v), -1)).to_numpy(int)
-            B[0][rows[col >= 0], col[col >= 0]] = 1.0
-        if s.slopes:
-            for name, value in (("slope", np.ones(n_cells)), ("slope_inside", i)):
-                col = cells["cluster"].map(lambda g, name=name: at.get((name, g), -1)).to_numpy(int)
-                B[1][rows[col >= 0], col[col >= 0]] = value[col >= 0]
+            cols += [np.full(n, 2 * k), np.full(n, 2 * k + 1)]
+            powers += [k, k]
+            coefs += [np.ones(n), i]
+        width, self.level = 2 + 2 * p, {}
+        levels = np.array(cells["effects"].tolist(), dtype=object).reshape(n, len(s.fe))
+        for j, f in enumerate(s.fe):
+            names, at = np.unique(levels[:, j].astype(str), return_inverse=True)
+            self.level |= {(f, v): width + m - 1 for m, v in enumerate(names) if m}
+            cols.append(np.where(at > 0, width + at - 1, _CONST))
+            powers.append(0)
+            coefs.append((at > 0).astype(float))
+            width += len(names) - 1
+        for value in (np.ones(n), i) if s.slopes else ():
+            cols.append(np.where(code > 0, width + code - 1, _CONST))
+            powers.append(1)
+            coefs.append(value * (code > 0))
+            width += len(self.names) - 1
+        self.width = width
         S = [cells[f"s{k}"].to_numpy(float) for k in range(2 * p + 1)]
         T = [cells[f"t{k}"].to_numpy(float) for k in range(p + 1)]
-        edges = np.r_[np.searchsorted(code, np.arange(G)), n_cells]
-        self.at, self.cells = at, cells
-        self.xx, self.xy = np.zeros((G, K, K)), np.zeros((G, K))
-        for g in range(G):
-            r = slice(edges[g], edges[g + 1])
-            used = np.flatnonzero(sum(b[r].any(axis=0) for b in B))
-            part = [b[r][:, used] for b in B]
-            for a in range(p + 1):
-                self.xy[g, used] += part[a].T @ T[a][r]
-                for c in range(p + 1):
-                    self.xx[g][np.ix_(used, used)] += part[a].T @ (part[c] * S[a + c][r, None])
-        n = cells["n"].to_numpy(int)
-        self.n_by = np.bincount(code, weights=n, minlength=G).astype(int)
-        self.in_by = np.bincount(code, weights=n * i, minlength=G).astype(int)
-
-    def solve(self, drop: int | None = None):
-        keep = [g for g in range(len(self.clusters)) if g != drop]
-        M, v = self.xx[keep].sum(0), self.xy[keep].sum(0)
+        self.parts = []  # per cluster: the columns that occur in it, their cross-products, those with the outcome
+        for g in range(len(self.names)):
+            rows = np.flatnonzero(code == g)
+            used, local = np.unique(np.concatenate([c[rows] for c in cols]), return_inverse=True)
+            local = local.reshape(len(cols), len(rows))
+            xx, xy = np.zeros((len(used), len(used))), np.zeros(len(used))
+            for a in range(len(cols)):
+                ca = coefs[a][rows]
+                np.add.at(xy, local[a], ca * T[powers[a]][rows])
+                for b in range(len(cols)):
+                    np.add.at(xx, (local[a], local[b]), ca * coefs[b][rows] * S[powers[a] + powers[b]][rows])
+            self.parts.append((used, xx, xy))
+        count = cells["n"].to_numpy(float)
+        self.rows = np.stack([np.bincount(code, count * i, len(self.names)), np.bincount(code, count * (1 - i), len(self.names))]).astype(int)
+        self.M, self.v = np.zeros((width, width)), np.zeros(width)
+        for used, xx, xy in self.parts:
+            self.M[np.ix_(used, used)] += xx
+            self.v[used] += xy
+
+    def solved(self, without: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """Inverse, coefficients and number of regressors in use; ``without``: a cluster taken off by subtraction."""
+        M, v = self.M, self.v
+        if without is not None:
+            used, xx, xy = self.parts[without]
+            M, v = M.copy(), v.copy()
+            M[np.ix_(used, used)] -= xx
+            v[used] -= xy
         inv = np.linalg.pinv(M, rcond=1e-12, hermitian=True)
-        return keep, inv, inv @ v
-
-    def estimate(self, drop: int | None = None) -> Estimate:
-        """Slope at the line with CR1 errors over clusters and t(G - 1) inference; ``drop`` leaves one cluster out by
-        subtraction, without another scan."""
-        s, k = self.s, self.at["inside"]
-        keep, inv, beta = self.solve(drop)
-        n, n_in = int(self.n_by[keep].sum()), int(self.in_by[keep].sum())
-        K = int((np.abs(self.xx[keep].sum(0)).sum(0) > 0).sum())
-        G = len(keep)
-        scores = np.array([inv[k] @ (self.xy[g] - self.xx[g] @ beta) for g in keep])
-        se = float(np.sqrt(G / (G - 1) * (n - 1) / max(1, n - K) * (scores**2).sum()))
-        tau = float(beta[k])
-        crit = t_critical(G - 1)
-        p = t_two_sided(tau / se, G - 1) if se > 0 else float("nan")
-        return Estimate(tau, se, tau - crit * se, tau + crit * se, p, G - 1, n, n_in, n - n_in, G, s.h, s.cutoff, s.donut, s.poly, None, s.label)
+        return inv, inv @ v, int((np.abs(M).sum(0) > 1e-9).sum())
+
+    def scores(self, row: np.ndarray, beta: np.ndarray) -> np.ndarray:
+        """Each cluster's part in the step's residual moment."""
+        return np.array([row[used] @ (xy - xx @ beta[used]) for used, xx, xy in self.parts])
+
+    def correction(self, rows: int, regressors: int, clusters: int) -> float:
+        """The small-sample factor of the clustered variance."""
+        return clusters / (clusters - 1) * (rows - 1) / max(1, rows - regressors)
+
+    def jump(self, without: int | None = None, label: str | None = None) -> Jump:
+        keep = np.arange(len(self.names)) != (-1 if without is None else without)
+        inv, beta, K = self.solved(without)
+        inside, outside = (int(x) for x in self.rows[:, keep].sum(1))
+        if keep.sum() < 2 or not inside or not outside:
+            raise CannotFit("too little is left")
+        variance = self.correction(inside + outside, K, int(keep.sum())) * (self.scores(inv[_INSIDE], beta)[keep] ** 2).sum()
+        s = self.spec if label is None else replace(self.spec, label=label)
+        return Jump(s, float(beta[_INSIDE]), float(np.sqrt(variance)), int(keep.sum()), inside, outside)
 
     def bootstrap(self, draws: int, seed: int) -> float:
-        """p of the restricted wild cluster bootstrap. A draw only re-weights clusters, so it works on vectors of one
-        number per cluster; p is the share of draws at least as extreme."""
-        k = self.at["inside"]
-        keep, inv, beta = self.solve()
-        G = len(keep)
-        free = [i for i in range(len(beta)) if i != k]
-        b0 = np.zeros(len(beta))
-        M, v = self.xx.sum(0), self.xy.sum(0)
-        b0[free] = np.linalg.pinv(M[np.ix_(free, free)], rcond=1e-12, hermitian=True) @ v[free]
-        score0 = np.array([self.xy[g] - self.xx[g] @ b0 for g in keep])  # G x K
-        A = inv @ score0.T  # K x G: change of the coefficients per unit of each cluster's weight
-        B = np.array([inv[k] @ self.xx[g] for g in keep])  # G x K
-        base = score0 @ inv[k]
-        est = self.estimate()
-        scale = (est.se**2) / ((np.array([inv[k] @ (self.xy[g] - self.xx[g] @ beta) for g in keep]) ** 2).sum())
-        signs = np.random.default_rng(seed).choice(SIX_POINTS, (draws, G))
-        tau = signs @ A[k]
-        own = signs * base - signs @ (B @ A).T
-        t = tau / np.sqrt(scale * (own**2).sum(1))
-        return float(np.mean(np.abs(t) >= abs(est.tau / est.se) - 1e-12))
-
-
-def fit(df: DataFrame, s: Spec) -> Estimate:
-    """One estimate. The cells that reach the driver are bounded by the fixed effects' levels, not by the rows."""
-    d = Design(moments(df, s).toPandas(), s)
-    e = d.estimate()
-    if s.draws:
-        e.p_wild_bootstrap = d.bootstrap(s.draws, s.seed)
-    return e
-
-
-def sweep(df: DataFrame, s: Spec, bandwidths: list[float]) -> list[Estimate | ValueError]:
-    """Estimates for several bandwidths from one scan: the bandwidth is one more key of the moments."""
-    from dataclasses import replace
-
-    wide = df.withColumn("_h", F.explode(F.array(*(F.lit(float(h)) for h in bandwidths)))).where(F.abs(C(s.running) - s.cutoff) < C("_h"))
-    x = C(s.running).cast("double") - s.cutoff
-    base = replace(s, h=max(bandwidths))
-    d = window(wide, base).withColumn("_w", 1 - F.abs(x) / C("_h")).where("_w > 0")
-    xs = C("_x") / C("_h")
-    keys = [C("_h"), C(s.cluster).cast("string").alias("cluster"), *(C(f).cast("string").alias(f"fe_{f}") for f in s.fe), (C("_x") > 0).alias("inside")]
-    sums = [F.sum(C("_w") * F.pow(xs, F.lit(k))).alias(f"s{k}") for k in range(2 * s.poly + 1)] + [F.sum(C("_w") * C("_y") * F.pow(xs, F.lit(k))).alias(f"t{k}") for k in range(s.poly + 1)]
-    cells = d.groupBy(*keys).agg(F.count("*").alias("n"), *sums).toPandas()
-    out = []
-    for h in bandwidths:
+        """p of the wild cluster bootstrap with the step restricted to 0: the share of draws whose t is at least as
+        far from 0. A draw weights each cluster's restricted residuals, so it shifts the coefficients by a linear map of
+        its weights; the clusters' scores then follow from these shifts."""
+        inv, beta, K = self.solved()
+        G = len(self.parts)
+        others = np.arange(self.width) != _INSIDE
+        null = np.zeros(self.width)
+        null[others] = np.linalg.pinv(self.M[np.ix_(others, others)], rcond=1e-12, hermitian=True) @ self.v[others]
+        residual, pull = np.zeros((G, self.width)), np.zeros((G, self.width))
+        for g, (used, xx, xy) in enumerate(self.parts):
+            residual[g, used] = xy - xx @ null[used]
+            pull[g, used] = xx @ inv[_INSIDE][used]
+        factor = self.correction(int(self.rows.sum()), K, G)
+        seen = abs(beta[_INSIDE]) / np.sqrt(factor * (self.scores(inv[_INSIDE], beta) ** 2).sum())
+        weights = np.random.default_rng(seed).choice(SIX_POINTS, (draws, G))
+        beyond = 0
+        for part in np.split(weights, range(CHUNK, draws, CHUNK)):
+            shifts = part @ residual @ inv  # of all coefficients, per draw
+            score = part * (residual @ inv[_INSIDE]) - shifts @ pull.T
+            beyond += int((np.abs(shifts[:, _INSIDE]) >= (seen - 1e-12) * np.sqrt(factor * (score**2).sum(1))).sum())
+        return beyond / draws
+
+
+def systems(df: DataFrame, specs: list[Spec], least: int = 2) -> list[System | CannotFit]:
+    """The cells that reach the driver are bounded by the clusters and the effects' levels, not by the rows."""
+    lacking = [sorted(s.columns() - set(df.columns)) for s in specs]
+    usable = [i for i, miss in enumerate(lacking) if not miss]
+    cells = moments(df, [specs[i] for i in usable]).toPandas() if usable else None
+    out: list[System | CannotFit] = []
+    for i, s in enumerate(specs):
         try:
-            out.append(Design(cells[cells["_h"] == h], replace(s, h=float(h))).estimate())
-        except ValueError as e:
+            if lacking[i]:
+                raise CannotFit(f"no column {', '.join(lacking[i])}")
+            out.append(System(cells[cells["spec"] == usable.index(i)].reset_index(drop=True), s, least))
+        except CannotFit as e:
             out.append(e)
     return out
 
 
-def leave_one_out(df: DataFrame, s: Spec) -> list[tuple[str, Estimate]]:
-    d = Design(moments(df, s).toPandas(), s)
-    return [(g, d.estimate(drop=i)) for i, g in enumerate(d.clusters)]
+def jump_of(system: System | CannotFit, s: Spec) -> Jump:
+    try:
+        if isinstance(system, CannotFit):
+            raise system
+        j = system.jump()
+        return replace(j, bootstrap_p=system.bootstrap(s.draws, s.seed)) if s.draws else j
+    except CannotFit as e:
+        return Jump(s, reason=str(e))
+
+
+def fits(df: DataFrame, specs: list[Spec]) -> list[Jump]:
+    """A jump for each specification, all from one scan; one that can't be fitted has its reason."""
+    return [jump_of(system, s) for system, s in zip(systems(df, specs), specs)]
+
+
+def fit(df: DataFrame, s: Spec) -> Jump:
+    """One jump; ``CannotFit`` where the rows don't allow it."""
+    (j,) = fits(df, [s])
+    if j.reason:
+        raise CannotFit(j.reason)
+    return j
+
+
+def sweep(df: DataFrame, s: Spec, bandwidths: list[float]) -> list[Jump]:
+    """Jumps for several bandwidths from one scan."""
+    return fits(df, [replace(s, h=float(h), label=f"h = {h:g} m") for h in bandwidths])
+
+
+def leave_one_out(df: DataFrame, s: Spec) -> list[Jump]:
+    """The jump without each cluster in turn (labelled by it), by subtraction of the cluster's block."""
+    (system,) = systems(df, [s])
+    if isinstance(system, CannotFit):
+        return [Jump(replace(s, label="all"), reason=str(system))]
+    out = []
+    for g, name in enumerate(system.names):
+        try:
+            out.append(system.jump(g, str(name)))
+        except CannotFit as e:
+            out.append(Jump(replace(s, label=str(name)), reason=str(e)))
+    return out
+
+
+#: Result rows of ``by_group``.
+GROUPS = "grp string, tau double, se double, n_obs long, n_inside long, n_clusters long, p_value double, ci_low double, ci_high double, note string"
 
 
 def by_group(df: DataFrame, group: str, s: Spec) -> DataFrame:
     """A separate fit for every value of ``group``, clustered on ``s.cluster`` however many clusters there are.
 
     Pass one: moments per group, without clusters, solved at the driver (as many small systems as groups). Pass two:
-    each row's score under its group's coefficients, summed per cluster and then squared per group, in Spark. Groups
-    with one side empty, a single cluster or no more rows than regressors are left out.
+    each row's score under its group's coefficients, summed per cluster and then squared per group, in Spark. A group
+    that can't be fitted (one side empty, a single cluster, no more rows than regressors) is a row with the reason.
     """
-    from dataclasses import replace
-
     spark = df.sparkSession
     plain = replace(s, cluster=group)
-    coefs, heads = [], []
-    for g, cs in moments(df, plain).toPandas().groupby("cluster"):
-        if cs["inside"].all() or not cs["inside"].any():
+    lines, heads, out = [], {}, []
+    names = [r[0] for r in df.where(C(group).isNotNull()).select(C(group).cast("string")).distinct().collect()]
+    cells = {g: c.reset_index(drop=True) for g, c in moments(df, [plain]).toPandas().groupby("cluster")}
+    for g in names:
+        try:
+            if g not in cells:
+                raise CannotFit("the window holds no rows")
+            system = System(cells[g], plain, least_clusters=1)
+        except CannotFit as e:
+            out.append((g, *[None] * 8, f"not run: {e}"))
             continue
-        d = Design(cs, plain, least_clusters=1)
-        _, inv, beta = d.solve()
-        m, K = inv[d.at["inside"]], int((np.abs(d.xx.sum(0)).sum(0) > 0).sum())
-        heads.append((g, float(beta[d.at["inside"]]), K))
-        for inside, *lv in cs[["inside", *(f"fe_{f}" for f in s.fe)]].fillna("None").itertuples(index=False):
-            i, add = float(inside), [d.at[(f, v)] for f, v in zip(s.fe, lv) if (f, v) in d.at]
-            line = lambda b: [float(b[d.at["const"]] + i * b[d.at["inside"]] + sum(b[a] for a in add)), *(float(b[d.at[f"x{k}"]] + i * b[d.at[f"x{k}_inside"]]) for k in range(1, s.poly + 1))]  # noqa: E731,B023
-            coefs.append((g, bool(inside), lv, line(beta), line(m)))
-    if not heads:
-        return spark.createDataFrame([], "grp string, tau double, se double, n_obs long, n_inside long, n_clusters long, p_value double, ci_low double, ci_high double")
-    coef = spark.createDataFrame(coefs, "_g string, _i boolean, _fe array<string>, _b array<double>, _m array<double>")
-    head = spark.createDataFrame(heads, "_g string, tau double, _K int")
-    rows = window(df, s).withColumns({"_g": C(group).cast("string"), "_i": C("_x") > 0, "_fe": F.array(*(F.coalesce(C(f).cast("string"), F.lit("None")) for f in s.fe)), "_xs": C("_x") / s.h})
-    j = rows.join(F.broadcast(coef), ["_g", "_i", "_fe"])  # bounded by groups times fixed-effect levels
-    poly = lambda a: sum((F.get(C(a), F.lit(k)) * F.pow("_xs", F.lit(k)) for k in range(1, s.poly + 1)), F.get(C(a), F.lit(0)))
-    sc = j.groupBy("_g", C(s.cluster).alias("_c")).agg(F.sum(C("_w") * poly("_m") * (C("_y") - poly("_b"))).alias("_s"), F.count("*").alias("_n"), F.sum(C("_i").cast("long")).alias("_in"))
-    tot = sc.groupBy("_g").agg(F.sum(C("_s") * C("_s")).alias("_ss"), F.count("*").alias("G"), F.sum("_n").alias("n"), F.sum("_in").alias("n_in")).join(head, "_g").where("G > 1 and n > _K").collect()
-    out = []
-    for r in tot:
-        G, n = r["G"], r["n"]
-        se = float(np.sqrt(G / (G - 1) * (n - 1) / max(1, n - r["_K"]) * r["_ss"]))
-        crit = t_critical(G - 1)
-        out.append((r["_g"], r["tau"], se, n, r["n_in"], G, t_two_sided(r["tau"] / se, G - 1) if se > 0 else None, r["tau"] - crit * se, r["tau"] + crit * se))
-    return spark.createDataFrame(out, "grp string, tau double, se double, n_obs long, n_inside long, n_clusters long, p_value double, ci_low double, ci_high double")
+        inv, beta, K = system.solved()
+        heads[g] = (float(beta[_INSIDE]), K)
+        for inside, effects in {(bool(i), tuple(e)) for i, e in zip(cells[g]["inside"], cells[g]["effects"])}:
+            extra = [system.level[(f, v)] for f, v in zip(s.fe, effects) if (f, v) in system.level]
+            line = lambda b: [float(b[_CONST] + inside * b[_INSIDE] + b[extra].sum()), *(float(b[2 * k] + inside * b[2 * k + 1]) for k in range(1, s.poly + 1))]  # noqa: E731,B023
+            lines.append((g, inside, list(effects), line(beta), line(inv[_INSIDE])))
+    if lines:
+        coef = spark.createDataFrame(lines, "_g string, _i boolean, _fe array<string>, _b array<double>, _m array<double>")
+        rows = window(df, s).withColumns({"_g": C(group).cast("string"), "_i": C("_x") > 0, "_fe": _effects(s), "_xs": C("_x") / s.h})
+        j = rows.join(broadcast_if_small(coef), ["_g", "_i", "_fe"])
+        poly = lambda a: sum((F.get(C(a), F.lit(k)) * F.pow("_xs", F.lit(k)) for k in range(1, s.poly + 1)), F.get(C(a), F.lit(0)))
+        sc = j.groupBy("_g", C(s.cluster).alias("_c")).agg(F.sum(C("_w") * poly("_m") * (C("_y") - poly("_b"))).alias("_s"), F.count("*").alias("_n"), F.sum(C("_i").cast("long")).alias("_in"))
+        for r in sc.groupBy("_g").agg(F.sum(C("_s") * C("_s")).alias("ss"), F.count("*").alias("G"), F.sum("_n").alias("n"), F.sum("_in").alias("n_in")).collect():
+            (tau, K), G, n = heads[r["_g"]], r["G"], r["n"]
+            if G < 2 or n <= K:
+                out.append((r["_g"], *[None] * 8, "not run: " + ("1 cluster where 2 are needed" if G < 2 else f"{n} rows for {K} regressors")))
+                continue
+            one = Jump(s, tau, float(np.sqrt(G / (G - 1) * (n - 1) / (n - K) * r["ss"])), G, r["n_in"], n - r["n_in"])
+            out.append((r["_g"], tau, one.error, n, r["n_in"], G, one.p(), *one.interval(), ""))
+    return spark.createDataFrame(out, GROUPS)
 
 
 def side_intercepts(df: DataFrame, s: Spec, keys: list[str] = ()) -> DataFrame:

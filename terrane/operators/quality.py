@@ -43,6 +43,11 @@ def assert_no_orphans(left: DataFrame, right: DataFrame, on: list[str]) -> DataF
     return left
 
 
+def join_one_to_one(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """The left table with the right one's columns, a left join; an error if a key repeats on either side."""
+    return assert_unique(left, on).join(assert_unique(right, on), on, "left")
+
+
 def failures(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     """Adds ``first_fail`` (NULL if all hold) and ``all_fails`` (joined by ';'); a rule that is NULL fails."""
     failed = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules)))

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.session import small
+
 #: Regions whose cells are broadcast: above this many cell rows the join shuffles both sides instead.
 BROADCAST_CELLS = 200_000
 
@@ -45,6 +47,14 @@ def polygon_edges(df: DataFrame, region: str, wkt: str) -> DataFrame:
     return e.join(box, "region").select("region", "west", "east", "south", "north", edge.alias("edge"))
 
 
+def box_edges(df: DataFrame, region: str, west: str, south: str, east: str, north: str) -> DataFrame:
+    """The four edges of upright boxes; one with a NULL side or without extent gives none."""
+    w, s, e, n = (F.col(c).cast("double") for c in (west, south, east, north))
+    edge = lambda x1, y1, x2, y2: F.struct(F.lit(0).alias("side"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), F.least(y1, y2).alias("lo"), F.greatest(y1, y2).alias("hi"))
+    around = F.array(edge(w, s, w, n), edge(e, s, e, n), edge(w, s, e, s), edge(w, n, e, n))
+    return df.where((w < e) & (s < n)).select(F.col(region).alias("region"), w.alias("west"), e.alias("east"), s.alias("south"), n.alias("north"), F.explode(around).alias("edge"))
+
+
 def cells(edges: DataFrame, strip: float) -> DataFrame:
     """Edges grouped by (latitude strip, column, region). Columns span the region's extent: a ray from a point
     within it crosses all edges of the strip to its east, so each column holds all the strip's edges."""
@@ -71,8 +81,7 @@ def points_in_regions(points: DataFrame, x: Column, y: Column, edges: DataFrame,
     p = p.withColumns({"_strip": F.floor(F.col("_y") / strip), "_column": F.floor(F.col("_x") / strip)})
     c = cells(edges, strip).select(F.col("strip").alias("_strip"), F.col("column").alias("_column"), F.col("region").alias("_region"), "west", "east", "south", "north", F.col("edges").alias("_edges"))
     c = c.withColumnsRenamed({n: f"_{n}" for n in ("west", "east", "south", "north")})
-    small = c.limit(broadcast_cells + 1).count() <= broadcast_cells
-    c = F.broadcast(c) if small else c.hint("shuffle_hash")
+    c = F.broadcast(c) if small(c, broadcast_cells) else c.hint("shuffle_hash")
     X, Y = F.col("_x"), F.col("_y")
     near = (F.col("_west") - eps <= X) & (X <= F.col("_east") + eps) & (F.col("_south") - eps <= Y) & (Y <= F.col("_north") + eps)
     j = p.join(c, ["_strip", "_column"]).where(near)

@@ -29,6 +29,18 @@ FRACTIONS = [("½", " 1/2"), ("¼", " 1/4"), ("¾", " 3/4"), ("⅓", " 1/3"), ("
 #: Unit names in running text. Fixed values.
 NAMED = [("km", r"\b(?:kilomet(?:re|er)s?|kms?)\b"), ("mile", r"\bmiles?\b"), ("yard", r"\b(?:yards?|yds?)\b"), ("foot", r"\b(?:feet|foot|ft)\b"), ("m", r"\b(?:met(?:re|er)s?|mtrs?)\b")]
 
+#: The strict form: a figure, with commas between thousands, and one of these units with its metres. Fixed values.
+STRICT_UNITS = {"m": 1.0, "metres": 1.0, "meters": 1.0, "km": 1000.0, "kms": 1000.0, "mile": 1609.344, "miles": 1609.344, "of a mile": 1609.344}
+STRICT = r"^\s*([\d,]*\.?\d+)\s*(" + "|".join(sorted(STRICT_UNITS)) + r")\s*$"
+
+
+def strict_metres(text: Column) -> Column:
+    """Metres of a text that is a figure and a unit and nothing else, without case; NULL for any other text."""
+    s = F.lower(text)
+    figure = F.replace(F.regexp_extract(s, STRICT, 1), F.lit(","), F.lit("")).try_cast("double")
+    factors = F.create_map(*(F.lit(x) for kv in STRICT_UNITS.items() for x in kv))
+    return F.when(s.rlike(STRICT), figure * F.element_at(factors, F.regexp_extract(s, STRICT, 2)))
+
 
 def unit_code(spelling: Column) -> Column:
     """m, km, mile, yard or foot for a spelling matched by UNIT; NULL for ''."""

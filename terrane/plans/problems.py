@@ -182,7 +182,46 @@ t AS (SELECT u, u AS root, 0 AS depth, u AS path FROM n WHERE u NOT IN (SELECT c
   UNION ALL SELECT e.child, t.root, t.depth + 1, t.path || ' > ' || e.child FROM t JOIN e ON e.parent = t.u)
 """
 
+def _said() -> str:
+    """The published figure in plain words and digits, with a space between a figure and its unit."""
+    s = "lower(cutoff_as_published)"
+    for mark, ascii_ in units.FRACTIONS:
+        s = f"replace({s}, '{mark}', '{ascii_}')"
+    s = f"trim(regexp_replace(translate({s}, '·\u00a0\u2009\u202f', '.   '), '\\s+', ' ', 'g'))"
+    for words, digits in units.WORDS:
+        s = f"regexp_replace({s}, '\\b{words}\\b( ?(?:mile|mi\\b|kilomet|km|met(?:re|er)|mtr|yard|yd|f(?:oo|ee)?t\\b))', '{digits}\\1', 'g')"
+    return f"regexp_replace({s}, '(\\d)([a-z])', '\\1 \\2', 'g')"
+
+
+_UNIT = units.UNIT + r"\b"
+_FIGURE = r"(\.?\d[\d.,]*(?: \d{3}\b)*(?:\.\d+)?)"
+_FRAC, _PAIR, _ONE = rf"^\D*?(?:(\d+) )?(\d+)/(\d+)(?: {_UNIT})?", rf"^\D*?{_FIGURE} {_UNIT}(?: and)? {_FIGURE} {_UNIT}", rf"^\D*?{_FIGURE}(?: {_UNIT})?"
+
+
+def _metres(u: str) -> str:
+    return f"(CASE WHEN {u} ~ '^(of a )?mi.*' THEN 1609.344::DOUBLE WHEN {u} LIKE 'k%' THEN 1000.0::DOUBLE WHEN {u} LIKE 'y%' THEN 0.9144::DOUBLE WHEN {u} LIKE 'f%' THEN 0.3048::DOUBLE WHEN {u} LIKE 'm%' THEN 1.0::DOUBLE END)"
+
+
+def _value(x: str) -> str:
+    x = f"rtrim({x}, '.,')"
+    return f"try_cast(CASE WHEN regexp_full_match({x}, '[1-9]\\d{{0,2}}([, ]\\d{{3}})+(\\.\\d+)?') THEN replace(replace({x}, ',', ''), ' ', '') ELSE replace(replace({x}, ' ', ''), ',', '.') END AS DOUBLE)"
+
+
+def _named(c: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(lower({c}), '{rx}') THEN '{unit}'" for unit, rx in units.NAMED) + " END"
+
+
 SQL = {
+    "p2_found": f"""
+WITH a AS (SELECT prov_id, cutoff_m::DOUBLE stored, {_said()} s, coalesce({_named("source_title")}, {_named("notes")}) named FROM provenance WHERE cutoff_m IS NOT NULL AND NOT isnan(cutoff_m)),
+k AS (SELECT *, CASE WHEN regexp_matches(s, '{units.INEXACT}') THEN 'none' WHEN regexp_matches(s, '{_FRAC}') THEN 'frac' WHEN regexp_matches(s, '{_PAIR}') THEN 'pair' WHEN regexp_matches(s, '{_ONE}') THEN 'num' ELSE 'none' END kind FROM a),
+p AS (SELECT *, CASE kind WHEN 'frac' THEN coalesce(try_cast(nullif(regexp_extract(s, '{_FRAC}', 1), '') AS DOUBLE), 0) + try_cast(regexp_extract(s, '{_FRAC}', 2) AS DOUBLE) / nullif(try_cast(regexp_extract(s, '{_FRAC}', 3) AS DOUBLE), 0)
+    WHEN 'pair' THEN {_value(f"regexp_extract(s, '{_PAIR}', 1)")} WHEN 'num' THEN {_value(f"regexp_extract(s, '{_ONE}', 1)")} END f,
+  CASE WHEN kind = 'num' AND regexp_full_match(rtrim(regexp_extract(s, '{_ONE}', 1), '.,'), '[1-9]\\d{{0,2}},\\d{{3}}') THEN try_cast(replace(rtrim(regexp_extract(s, '{_ONE}', 1), '.,'), ',', '.') AS DOUBLE) END f2,
+  coalesce(nullif(CASE kind WHEN 'frac' THEN regexp_extract(s, '{_FRAC}', 4) WHEN 'pair' THEN regexp_extract(s, '{_PAIR}', 2) WHEN 'num' THEN regexp_extract(s, '{_ONE}', 2) END, ''), named) u,
+  CASE WHEN kind = 'pair' THEN {_value(f"regexp_extract(s, '{_PAIR}', 3)")} END x, CASE WHEN kind = 'pair' THEN regexp_extract(s, '{_PAIR}', 4) END ux FROM k),
+m AS (SELECT prov_id, stored, f * {_metres("u")} + coalesce(CASE WHEN {_metres("ux")} < {_metres("u")} THEN x * {_metres("ux")} END, 0) m1, CASE WHEN {_metres("u")} >= 1000 THEN f2 * {_metres("u")} END m2 FROM p)
+SELECT DISTINCT prov_id FROM m WHERE abs(stored - CASE WHEN stored > 0 AND m1 > 0 AND m2 > 0 AND abs(ln(m2 / stored)) < abs(ln(m1 / stored)) THEN m2 ELSE m1 END) > 1""",
     "p1_found": f"""
 WITH p AS (SELECT DISTINCT {_key("postcode_key")} k, dointr a, nullif(doterm, '') b FROM onspd),
 g AS (SELECT txn_id, {_key("postcode_norm")} k, strftime(date, '%Y%m') m FROM pp_geo)
@@ -206,6 +245,12 @@ SELECT DISTINCT txn_id, urn FROM (SELECT txn_id, x, y, urn FROM s, k GROUP BY AL
     "p5_found": f"""
 SELECT line_id FROM pp_raw WHERE NOT coalesce(regexp_full_match(rtrim(raw, chr(13) || chr(10)), '{_VALID}')
   AND try_cast(concat(regexp_extract(rtrim(raw, chr(13) || chr(10)), '^{_VALID}$', 1), regexp_extract(rtrim(raw, chr(13) || chr(10)), '^{_VALID}$', 2)) AS DATE) IS NOT NULL, false)""",
+    "p5_valid": f"""
+WITH v AS (SELECT line_id, rtrim(raw, chr(13) || chr(10)) x FROM pp_raw WHERE coalesce(regexp_full_match(rtrim(raw, chr(13) || chr(10)), '{_VALID}'), false)
+  AND try_cast(concat(regexp_extract(rtrim(raw, chr(13) || chr(10)), '^{_VALID}$', 1), regexp_extract(rtrim(raw, chr(13) || chr(10)), '^{_VALID}$', 2)) AS DATE) IS NOT NULL),
+f AS (SELECT line_id, list_transform(regexp_extract_all(',' || x, ',("(?:[^"]|"")*"|[^,"]*)', 1), lambda y: CASE WHEN y LIKE '"%' THEN replace(substr(y, 2, length(y) - 2), '""', '"') ELSE y END) f FROM v)
+SELECT line_id, {", ".join(f"f[{i + 1}] AS {n}" for i, n in enumerate(records.FIELDS) if n not in ("price", "date", "postcode"))}, try_cast(trim(f[2]) AS BIGINT) AS price,
+  coalesce(try_strptime(trim(f[3]), '%Y-%m-%d %H:%M'), try_strptime(trim(f[3]), '%Y-%m-%d'))::TIMESTAMP AS date, nullif(upper(trim(f[4], ' ' || chr(9))), '') AS postcode FROM f""",
     "p6_found": """
 WITH s AS (SELECT DISTINCT txn_id, date, easting, northing FROM sales WHERE date IS NOT NULL AND easting IS NOT NULL AND northing IS NOT NULL AND NOT isnan(easting) AND NOT isnan(northing)),
 c AS (SELECT urn, easting be, northing bn, unnest(map_entries(radius_by_year)) m FROM boundary),

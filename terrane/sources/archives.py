@@ -5,7 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+import time
+import urllib.parse
 import urllib.request
+from collections.abc import Callable
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -63,6 +67,43 @@ def fetch(url: str, dest: str, manifest: str, timeout: float = 60) -> dict:
     return known[name]
 
 
+def form_fields(html: str) -> dict[str, str]:
+    """The input fields of a page at the driver, as ``html_inputs`` reads them from a column."""
+    out: dict[str, str] = {}
+    for tag in re.findall(r"(?is)<input\b[^>]*>", html):
+        value = {k: m[1] for k in ("name", "value") if (m := re.search(rf"(?is)\b{k}\s*=\s*[\"']([^\"']*)[\"']", tag))}
+        if value.get("name"):
+            out.setdefault(value["name"], value.get("value", ""))
+    return out
+
+
+def ticked(fields: dict[str, str], wanted: set[str], tag: str = ".Tag", selected: str = ".Selected") -> dict[str, str]:
+    """The fields with those entries selected whose tag is wanted; an error if one isn't offered."""
+    marks = {n[: -len(tag)] + selected: "true" for n, v in fields.items() if n.endswith(tag) and v in wanted}
+    lacking = wanted - {v for n, v in fields.items() if n.endswith(tag)}
+    if lacking:
+        raise ValueError(f"not offered: {sorted(lacking)}")
+    return {**fields, **marks}
+
+
+def post_form(url: str, fields: dict[str, str], timeout: float = 60) -> tuple[str, str]:
+    """Send a form; (address that the answer came from, its text)."""
+    with urllib.request.urlopen(url, urllib.parse.urlencode(fields).encode(), timeout=timeout) as r:  # noqa: S310
+        return r.geturl(), r.read().decode("utf-8", "replace")
+
+
+def poll(url: str, ready: Callable[[str], bool], tries: int = 120, pause: float = 5.0, timeout: float = 60) -> str:
+    """Ask for a page until it is ready; an error after so many tries."""
+    for i in range(tries):
+        with urllib.request.urlopen(url, timeout=timeout) as r:  # noqa: S310
+            text = r.read().decode("utf-8", "replace")
+        if ready(text):
+            return text
+        if i + 1 < tries:
+            time.sleep(pause)
+    raise TimeoutError(f"{url} was not ready after {tries} tries")
+
+
 def yearly_files(folder: str, first: int, last: int, name: str = "pp-{year}.csv") -> list[str]:
     """The files of a range of years, in order; a missing one is an error."""
     paths = [f"{folder}/{name.format(year=y)}" for y in range(first, last + 1)]

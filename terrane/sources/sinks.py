@@ -27,3 +27,11 @@ def write_report(df: DataFrame, path: str) -> None:
 
 def write_result(path: str, result: dict, **provenance) -> None:
     Path(path).write_text(json.dumps({**result, **provenance}, indent=1, sort_keys=True, default=str))
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str) -> list[str]:
+    """One CSV report per named table below a folder; the paths."""
+    paths = [f"{folder}/{name}.csv" for name in sorted(tables)]
+    for name, path in zip(sorted(tables), paths):
+        write_report(tables[name], path)
+    return paths

@@ -56,23 +56,51 @@ def text_csv(spark: SparkSession, path, encoding: str = "UTF-8", keep_empty: boo
     return _mended(df.csv(path), encoding)
 
 
-def text_csv_with_preamble(spark: SparkSession, path: str, marker: str, encoding: str = "windows-1252") -> DataFrame:
-    """Headed CSV whose header may come after title lines: the header is the first line that contains ``marker``.
+def text_csv_with_preamble(spark: SparkSession, path: str, marker: str, encoding: str = "windows-1252", within: int = 100) -> DataFrame:
+    """Headed CSV file whose header may come after title lines: the header is the first line that contains ``marker``.
 
-    Only the file's first lines are read at the driver to find the header; a file without it is an error.
+    Only the file's first lines are read at the driver to find the header; a file without it there is an error. Lines
+    further down that equal a title or the header are data.
     """
     # the text source knows UTF-8 only; a CSV without separator and quotes gives whole lines in any encoding
-    raw = spark.read.schema("value string").option("encoding", _charset(encoding)).option("sep", "\u0001").option("quote", "")
-    lines = _mended(raw.csv(path), encoding)
-    head = lines.limit(20).collect()
+    raw = spark.read.schema("value string").option("encoding", _charset(encoding)).option("sep", "\u0001").option("quote", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    head = _mended(raw.csv(path), encoding).limit(within).collect()
     at = next((i for i, r in enumerate(head) if marker in (r[0] or "")), None)
     if at is None:
         raise ValueError(f"no header with {marker!r} within the first lines of {path}")
     names = [c.strip().strip('"') for c in head[at][0].split(",")]
-    skipped = [r[0] for r in head[: at + 1]]
-    lines = lines.where(~F.col("value").isin(skipped))
+    # the reader gives a file's lines in order, so the header's is told from an equal line further down by its place:
+    # the first partition holds the start of the file, and in it the first lines are left out by their number
+    lines = raw.csv(path).select("value", F.monotonically_increasing_id().alias("_at"))
     parsed = F.from_csv("value", F.lit(", ".join(f"`{n}` string" for n in names)))
-    return lines.select(parsed.alias("r")).select("r.*")
+    return _mended(lines.where(F.col("_at") > at).select("value"), encoding).select(parsed.alias("r")).select("r.*")
+
+
+def optional_csv(spark: SparkSession, path: str, columns: list[str], where: str | None = None) -> DataFrame | None:
+    """Some columns (strings) of a headed CSV, with a filter; None where there is no such file."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    target = jvm.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target):
+        return None
+    df = text_csv(spark, path)
+    df = df.where(where) if where else df
+    return df.select(*columns)
+
+
+def coerced_csv(spark: SparkSession, path: str, required: list[str], types: dict[str, str], empty: dict[str, str] | None = None) -> DataFrame:
+    """A headed CSV that must have certain columns, some of them coerced to a type: what can't be read as it is NULL.
+    ``empty``: what an empty field of a column stands for; elsewhere it is NULL for coerced columns and '' for others."""
+    df = guard_columns(text_csv(spark, path), required=tuple(required))
+    filled = {c: F.when(F.col(f"`{c}`") == "", F.lit(v)).otherwise(F.col(f"`{c}`")) for c, v in (empty or {}).items()}
+    return df.select(*(filled.get(c, F.col(f"`{c}`")).try_cast(types[c]).alias(c) if c in types else filled.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns))
+
+
+def file_catalogue(spark: SparkSession, path: str, kinds: dict[str, str]) -> DataFrame:
+    """(name, kind, bytes, modified) of the files below a path, each with the first kind whose pattern its name matches
+    (NULL if none does); nothing of their content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    kind = F.coalesce(*(F.when(F.col("name").rlike(rx), k) for k, rx in kinds.items()), F.lit(None).cast("string"))
+    return files.select("name", kind.alias("kind"), "bytes", "modified")
 
 
 def tagged_files(spark: SparkSession, paths: list[str], reader, tag: str = "source") -> DataFrame:

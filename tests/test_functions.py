@@ -73,3 +73,10 @@ def test_sinks(spark, tmp_path):
     sinks.write_report(df, str(tmp_path / "r"))
     sinks.write_result(str(tmp_path / "x.json"), {"tau": 1.0}, sha256="0")
     assert json.loads((tmp_path / "x.json").read_text())["sha256"] == "0"
+
+
+def test_money_and_counts(spark):
+    from terrane.functions import display
+
+    df = spark.createDataFrame([(8820.77,), (-16655.57,), (0.2,), (None,)], "x double")
+    assert [tuple(r) for r in df.select(display.pounds(F.col("x"), True), display.thousands(F.round("x").cast("long"))).collect()] == [("+£8,821", "8,821"), ("-£16,656", "-16,656"), ("£0", "0"), (None, None)]

@@ -47,20 +47,44 @@ def test_fit_equals_dense_least_squares(sample, poly, slopes):
     G, n, K = len(s), *X.shape
     se = math.sqrt(G / (G - 1) * (n - 1) / (n - K) * (s**2).sum())
     e = rd.fit(sample, rd.Spec(h=400, poly=poly, slopes=slopes, draws=499))
-    assert e.tau == pytest.approx(beta[1], abs=1e-9) and e.se == pytest.approx(se, abs=1e-9) and (e.n_obs, e.n_clusters) == (n, G)
-    assert e.ci_low < 0.08 < e.ci_high and e.p_wild_bootstrap < 0.05
+    assert e.size == pytest.approx(beta[1], abs=1e-9) and e.error == pytest.approx(se, abs=1e-9) and (e.rows_inside + e.rows_outside, e.clusters) == (n, G)
+    low, high = e.interval()
+    assert low < 0.08 < high and e.bootstrap_p < 0.05
+
+
+def test_bootstrap_equals_refitted_draws(sample):
+    """Every draw refitted with dense algebra on the rows."""
+    few = sample.where("boundary_id < 'B04'")
+    w, X, y, wt = _dense(few.toPandas(), 400, fe=("property_type", "boundary_id"))
+    names, groups = np.unique(w.boundary_id.to_numpy(str), return_inverse=True)
+    inv, G = np.linalg.inv(X.T @ (X * wt[:, None])), len(names)
+    rest = np.delete(X, 1, axis=1)
+    null = rest @ np.linalg.lstsq(rest * np.sqrt(wt)[:, None], y * np.sqrt(wt), rcond=None)[0]
+
+    def t(values):
+        b = inv @ (X.T @ (values * wt))
+        s = np.array([inv[1] @ (X[groups == g].T @ (wt * (values - X @ b))[groups == g]) for g in range(G)])
+        return abs(b[1]) / np.sqrt((s**2).sum())
+
+    draws = np.random.default_rng(5).choice(rd.SIX_POINTS, (60, G))
+    want = np.mean([t(null + d[groups] * (y - null)) >= t(y) - 1e-12 for d in draws])
+    assert rd.fit(few, rd.Spec(h=400, fe=("property_type", "boundary_id"), draws=60, seed=5)).bootstrap_p == pytest.approx(want)
 
 
 def test_sweep_leave_one_out_and_groups(sample):
-    out = rd.sweep(sample, rd.Spec(), [200.0, 400.0])
-    assert out[1].tau == pytest.approx(rd.fit(sample, rd.Spec(h=400)).tau, abs=1e-10) and out[0].tau == pytest.approx(rd.fit(sample, rd.Spec(h=200)).tau, abs=1e-10)
-    g, e = rd.leave_one_out(sample, rd.Spec())[3]
-    direct = rd.fit(sample.where(F.col("boundary_id") != g), rd.Spec())
-    assert e.tau == pytest.approx(direct.tau, abs=1e-8) and e.se == pytest.approx(direct.se, rel=1e-6)
+    out = rd.sweep(sample, rd.Spec(), [200.0, 400.0, 0.001])
+    assert out[1].size == pytest.approx(rd.fit(sample, rd.Spec(h=400)).size, abs=1e-10) and out[0].size == pytest.approx(rd.fit(sample, rd.Spec(h=200)).size, abs=1e-10)
+    assert out[2].size is None and out[2].reason and out[2].record()["note"].startswith("not run: ")
+    e = rd.leave_one_out(sample, rd.Spec())[3]
+    direct = rd.fit(sample.where(F.col("boundary_id") != e.spec.label), rd.Spec())
+    assert e.size == pytest.approx(direct.size, abs=1e-8) and e.error == pytest.approx(direct.error, rel=1e-6)
     spec = rd.Spec(cluster="postcode", fe=("property_type", "year_quarter"))
-    row = {r["grp"]: r for r in rd.by_group(sample, "boundary_id", spec).collect()}["B03"]
+    cut_off = sample.where("boundary_id <> 'B05' or d_signed > 0")  # one group has a side without rows
+    rows = {r["grp"]: r for r in rd.by_group(cut_off, "boundary_id", spec).collect()}
     one = rd.fit(sample.where("boundary_id = 'B03'"), spec)
-    assert row["tau"] == pytest.approx(one.tau, abs=1e-8) and row["se"] == pytest.approx(one.se, rel=1e-6) and row["n_clusters"] == one.n_clusters
+    row = rows["B03"]
+    assert row["tau"] == pytest.approx(one.size, abs=1e-8) and row["se"] == pytest.approx(one.error, rel=1e-6) and row["n_clusters"] == one.clusters
+    assert len(rows) == 12 and rows["B05"]["tau"] is None and rows["B05"]["note"].startswith("not run: ")
 
 
 def test_fit_refuses(sample):
@@ -73,13 +97,35 @@ def test_fit_refuses(sample):
 
 
 def test_battery_reports_everything(spark, sample):
-    rows = battery.run_all(sample.drop("n_near").withColumn("n_near", F.lit(1)), rd.Spec(), yearly="d_year")
-    tests = {r[0].split()[0] for r in rows}
-    assert tests == {"R1", "R2", "R3", "R4", "R6", "R7", "R8", "R9", "R10", "R11", "R12"}
-    assert sum(r[0].startswith("R12") for r in rows) == 12
-    assert any("not run" in r[-1] for r in rows if r[1] == "imd19_rank")
-    v = {r["test"]: r["verdict"] for r in battery.verdict(spark.createDataFrame(rows, battery.SCHEMA)).collect()}
-    assert v["R4 donut"] == "flag"
+    dated = sample.withColumns({"n_near": F.lit(1), "date": F.expr("date_add(date'2019-01-01', cast(abs(d_signed) as int))")})
+    changes_ = spark.createDataFrame([("B01", "2019-06-01", "B01 2 to 1"), ("B02", "2018-01-01", "B02 1 to 3")], "boundary_id string, at string, name string").withColumn("at", F.col("at").cast("timestamp"))
+    halves = battery.timing_halves(dated, changes_, "boundary_id", "at", "name")
+    df = battery.run_all(dated, rd.Spec(), halves=halves)
+    rows = df.collect()
+    assert {r["check"] for r in rows} == {"placebo", "balance", "density", "donut", "timing", "closeness", "line of the year", "one region near", "slopes", "effects", "curve", "without"}
+    assert sum(r["check"] == "without" for r in rows) == 12
+    assert {r["variant"] for r in rows if r["check"] == "timing"} == {"B01 2 to 1, before", "B01 2 to 1, after", "B02 1 to 3, after"}
+    assert [r["note"] for r in rows if r["variant"] == "imd19_rank"] == ["not run: no column imd19_rank"]
+    v = {r["check"]: r["verdict"] for r in battery.verdict(df).collect()}
+    assert v["donut"] == "flag" and v["closeness"] == "context"
+    assert {r["note"] for r in battery.run_all(dated.limit(0), rd.Spec()).where("check in ('timing', 'without', 'density')").collect()} == {"not run: no changes given", "not run: the window holds no rows", "not run: fewer than three bins on a side"}
+
+
+def test_side_lines(sample):
+    w, X, y, wt = _dense(sample.toPandas(), 400, fe=())
+    got = {(r["side"], r["x"]): r for r in battery.side_lines(sample, "log_price", rd.Spec(), 100.0).collect()}
+    assert len(got) == 10
+    for side, at in (("inside", w.d_signed.to_numpy() > 0), ("outside", w.d_signed.to_numpy() <= 0)):
+        x, z, v = w.d_signed.to_numpy()[at], y[at], wt[at]
+        A = np.column_stack([np.ones(len(x)), x])
+        inv = np.linalg.inv(A.T @ (A * v[:, None]))
+        b, names = inv @ (A.T @ (z * v)), w.boundary_id.to_numpy(str)[at]
+        s = np.array([inv @ (A[names == g].T @ (v * (z - A @ b))[names == g]) for g in np.unique(names)])
+        G, n = len(s), len(x)
+        V = s.T @ s * G / (G - 1) * (n - 1) / (n - 2)
+        p = np.array([1.0, 200.0 if side == "inside" else -200.0])
+        r = got[(side, p[1])]
+        assert r["fitted"] == pytest.approx(p @ b, abs=1e-9) and r["high"] - r["fitted"] == pytest.approx(1.959964 * math.sqrt(p @ V @ p), rel=1e-5)
 
 
 def test_residuals(sample):
@@ -98,7 +144,16 @@ def test_histogram_and_density(spark):
     u = rng.uniform(-400, 400, 20000)
     even = spark.createDataFrame([(float(v),) for v in u], "d double")
     bunched = spark.createDataFrame([(float(-v if -100 < v < 0 and i % 2 else v),) for i, v in enumerate(u)], "d double")
-    assert density.density_test(even, "d").p_value > 0.01 and density.density_test(bunched, "d").p_value < 0.001
+    assert density.density_step(even, "d")["p"] > 0.01 and density.density_step(bunched, "d")["p"] < 0.001
+    h = {r["centre"]: r["n"] for r in density.histogram(even, "d", 10.0).collect()}
+
+    def end(side):
+        x = np.array([c for c in h if 0 < c * side and abs(c) < 400])
+        return np.polyfit(x, [h[c] / 20000 / 10 for c in x], 1, w=np.sqrt(1 - np.abs(x) / 400))[1]
+
+    r = density.density_step(even, "d")
+    assert (r["inside"], r["outside"]) == pytest.approx((end(1), end(-1))) and r["step"] == pytest.approx(math.log(end(1) / end(-1)))
+    assert density.density_step(even.limit(0), "d")["reason"] and density.density_step(even.where("d > 0"), "d")["reason"]
 
 
 def test_tails():
@@ -112,6 +167,21 @@ def test_assignment_rules(spark):
     assert got == {"s0": ("B", 2), "s1": ("A", 1), "s2": ("A", 2), "s3": ("A", 1), "s4": ("A", 2)}
 
 
+def test_regions_that_are_no_alternatives(spark):
+    pairs = spark.createDataFrame([("s1", "A", -50.0, "Girls"), ("s1", "B", 200.0, "boys"), ("s2", "A", -50.0, "Girls"), ("s2", "C", 200.0, "mixed"), ("s3", "A", -5.0, "Girls"), ("s3", "D", 100.0, None)], "s string, b string, d_signed double, kind string")
+    got = {r["s"]: r["b"] for r in assign.assign_nearest(pairs, "s", "b", kind="kind", apart=[("boys", "girls")]).collect()}
+    assert got == {"s1": "A", "s2": "C", "s3": "D"}
+
+
+def test_circles_and_polygons_in_one_sample(spark):
+    areas = spark.createDataFrame([("c", 0.0, 0.0, 100.0, None), ("p", 9.0, 9.0, None, "POLYGON ((200 0, 400 0, 400 200, 200 200, 200 0), (280 80, 320 80, 320 120, 280 120, 280 80))"), ("none", 0.0, 0.0, None, None)], "k string, cx double, cy double, r double, wkt string")
+    pts = spark.createDataFrame([(1, 50.0, 0.0), (2, 250.0, 50.0), (3, 300.0, 100.0), (4, 150.0, 100.0), (5, 500.0, 300.0), (6, None, 0.0), (7, float("nan"), 0.0), (8, 9000.0, 0.0)], "id int, x double, y double")
+    got = {(r["id"], r["k"]): r["d_signed"] for r in assign.region_pairs(pts, "x", "y", areas, key="k", cx="cx", cy="cy", radius="r", wkt="wkt", reach=150.0).collect()}
+    want = {(1, "c"): 50.0, (2, "p"): math.hypot(30, 30), (3, "p"): -20.0, (4, "p"): -50.0, (4, "c"): 100 - math.hypot(150, 100), (5, "p"): -math.hypot(100, 100), (2, "c"): None}
+    want.pop((2, "c"))
+    assert got.keys() == {*want, *({(1, "p")} if (1, "p") in got else set())} and all(got[k] == pytest.approx(v) for k, v in want.items())
+
+
 def test_circle_distance_and_nearest(spark):
     df = spark.createDataFrame([(530000.0, 180000.0), (531000.0, 180000.0), (None, 1.0)], "e double, n double")
     d = [r[0] for r in df.select(assign.circle_distance(F.col("e"), F.col("n"), F.lit(530000.0), F.lit(180000.0), F.lit(800.0))).collect()]
@@ -151,7 +221,14 @@ def test_grade_over_a_lineage(spark):
     lines = spark.createDataFrame([("200", "200", 0), ("200", "100", 1), ("100", "100", 0)], "node string, ancestor string, steps int")
     q = spark.createDataFrame([("200", d(2016, 1, 1)), ("200", d(2020, 1, 1)), ("100", d(2008, 4, 30)), ("300", d(2020, 1, 1)), (None, d(2020, 1, 1))], "urn string, day date")
     got = {(r["urn"], r["day"]): r["in_force"] for r in changes.in_force(q, "urn", "day", ev, lines, event_key="urn", event_at=F.col("on"), value="grade").collect()}
-    assert list(got.values()).count(None) == 3 and got[("200", d(2016, 1, 1))] == 1 and got[("200", d(2020, 1, 1))] == 2
+    assert list(got.values()).count(None) == 3 and tuple(got[("200", d(2016, 1, 1))]) == (1, d(2013, 2, 1), "100") and tuple(got[("200", d(2020, 1, 1))]) == (2, d(2018, 6, 1), "200")
+    h = changes.line_history(ev, lines, event_key="urn", at=["on"], value="grade").where("node = '200'").collect()
+    assert [(r["on"], r["urn"], r["grade"]) for r in sorted(h, key=lambda r: (r["on"], r["steps"]))] == [(d(2008, 5, 1), "100", 2), (d(2013, 2, 1), "100", 1), (d(2018, 6, 1), "200", 2), (d(2018, 6, 1), "100", 4)]
+    starts = spark.createDataFrame([("200", d(2010, 1, 1)), ("300", d(2001, 1, 1))], "urn string, opened date")
+    more = lines.unionByName(spark.createDataFrame([("300", "300", 0)], lines.schema))
+    assert {r["node"]: (r["known"], r["first"]) for r in changes.line_start(more, starts, "urn", "opened").collect()} == {"200": (False, None), "100": (False, None), "300": (True, d(2001, 1, 1))}
+    o = spark.createDataFrame([(1, None, None), (2, d(2020, 1, 1), None), (3, d(2020, 1, 2), None), (4, None, d(2020, 1, 1)), (5, None, d(2020, 1, 2))], "id int, a date, z date")
+    assert {r["id"] for r in o.where(changes.open_on(F.lit(d(2020, 1, 1)), F.col("a"), F.col("z"))).collect()} == {1, 2, 5}
 
 
 def test_quality(spark, tmp_path):
@@ -168,15 +245,24 @@ def test_quality(spark, tmp_path):
     governance.write_checked(df, str(tmp_path / "t"))
     assert governance.read_checked(spark, str(tmp_path / "t")).count() == 4
     (tmp_path / "src").write_bytes(b"a\nb\n")
-    lock, src = str(tmp_path / "lock"), str(tmp_path / "src")
+    src = tmp_path / "src"
+    seal = governance.Seal(str(tmp_path / "seal"), str(src))
     with pytest.raises(PermissionError):
-        governance.require_lock(lock, src)
-    governance.write_lock(lock, src, selected=["x"])
-    (tmp_path / "src").write_bytes(b"a\r\nb\r\n")
-    assert governance.require_lock(lock, src)["selected"] == ["x"]
-    (tmp_path / "src").write_bytes(b"a\nc\n")
+        seal.facts()
+    seal.close(selected=["x"])
+    src.write_bytes(b"a\r\nb\r\n")
+    assert seal.facts()["selected"] == ["x"] and governance.text_fingerprint(str(src), 2) == governance.text_fingerprint(str(src))
+    src.write_bytes(b"a\nc\n")
     with pytest.raises(PermissionError):
-        governance.require_lock(lock, src)
+        seal.facts()
+    one = spark.createDataFrame([("a", 1), ("b", 2)], "k string, w int")
+    assert quality.join_one_to_one(one, one.withColumnRenamed("w", "z").limit(1), ["k"]).count() == 2
+    with pytest.raises(ValueError):
+        quality.join_one_to_one(df, one, ["k"])
+    with pytest.raises(ValueError):
+        quality.assert_no_orphans(one, one.limit(1), ["k"])
+    assert quality.assert_no_orphans(one, one, ["k"]) is one
+    assert sorted(tuple(r) for r in quality.audit(df, [F.col("k")], {"big": F.col("v") > 0}).where("k is not null").collect()) == [("a", 2, 1), ("b", 1, 1)]
 
 
 def test_postcode_forms(spark):
