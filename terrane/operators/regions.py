@@ -13,10 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.session import small
-
-#: Regions whose cells are broadcast: above this many cell rows the join shuffles both sides instead.
-BROADCAST_CELLS = 200_000
+#: Edges in cells, copies counted, up to which the cells are broadcast (some 60 bytes each); above it the join shuffles
+#: both sides instead. Columns of cells that a region takes at most, about.
+BROADCAST_EDGES, COLUMNS = 400_000, 16
 
 
 def circle_edges(df: DataFrame, region: str, x: str, y: str, radius: Column) -> DataFrame:
@@ -56,21 +55,26 @@ def box_edges(df: DataFrame, region: str, west: str, south: str, east: str, nort
 
 
 def cells(edges: DataFrame, strip: float) -> DataFrame:
-    """Edges grouped by (latitude strip, column, region). Columns span the region's extent: a ray from a point
-    within it crosses all edges of the strip to its east, so each column holds all the strip's edges."""
+    """Edges grouped by (latitude strip, level, column, region). Columns span the region's extent: a ray from a point
+    within it crosses all edges of the strip to its east, so each column holds all the strip's edges. A column is
+    ``strip`` wide times two to the region's level, which keeps a region within some ``COLUMNS`` columns, so that the
+    copies of an edge don't grow with the region."""
     k = lambda c: F.floor(c / strip)
+    level = F.greatest(F.ceil(F.log2(F.greatest((F.col("east") - F.col("west")) / (strip * COLUMNS), F.lit(1.0)))), F.lit(0)).cast("int")
     s = edges.withColumn("strip", F.explode(F.sequence(k(F.col("edge.lo")), k(F.col("edge.hi")))))
-    g = s.groupBy("strip", "region", "west", "east", "south", "north").agg(F.collect_list("edge").alias("edges"))
-    return g.withColumn("column", F.explode(F.sequence(k(F.col("west")), k(F.col("east")))))
+    g = s.groupBy("strip", "region", "west", "east", "south", "north").agg(F.collect_list("edge").alias("edges")).withColumn("level", level)
+    wide = F.lit(strip) * F.pow(F.lit(2.0), F.col("level"))
+    return g.withColumn("column", F.explode(F.sequence(F.floor(F.col("west") / wide), F.floor(F.col("east") / wide))))
 
 
-def points_in_regions(points: DataFrame, x: Column, y: Column, edges: DataFrame, *, strip: float = 500.0, eps: float = 1e-6, broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
+def points_in_regions(points: DataFrame, x: Column, y: Column, edges: DataFrame, *, strip: float = 500.0, eps: float = 1e-6, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
     """Every (point row, region) whose crossing parity is odd or that lies on the boundary.
 
     Keeps the columns of ``points`` and adds ``region``, ``crossings`` and ``on_boundary`` (replacing columns of these
     names); exact repeats of a point row stay repeats. NULL, NaN and infinite coordinates are in no region. A row on a boundary is returned with
     ``on_boundary`` true for the caller's own rule; otherwise it is strictly inside.
-    The regions' cells are counted: up to ``broadcast_cells`` they are broadcast, beyond it both sides shuffle by cell.
+    The edges in the regions' cells are counted: up to ``broadcast_edges`` the cells are broadcast, beyond it both sides
+    shuffle by cell. A point is looked up once per level of the regions' sizes, of which there is one where all are small.
     """
     px, py = x.cast("double"), y.cast("double")
     big = F.lit(1e15)
@@ -78,13 +82,16 @@ def points_in_regions(points: DataFrame, x: Column, y: Column, edges: DataFrame,
     # the row travels as one struct, so that no column of it can clash with the operator's own
     p = points.select(F.struct(*(F.col(f"`{n}`") for n in keep)).alias("_row"), px.alias("_x"), py.alias("_y"))
     p = p.where(F.col("_x").isNotNull() & F.col("_y").isNotNull() & (F.abs("_x") < big) & (F.abs("_y") < big))
-    p = p.withColumns({"_strip": F.floor(F.col("_y") / strip), "_column": F.floor(F.col("_x") / strip)})
-    c = cells(edges, strip).select(F.col("strip").alias("_strip"), F.col("column").alias("_column"), F.col("region").alias("_region"), "west", "east", "south", "north", F.col("edges").alias("_edges"))
+    grouped = cells(edges, strip)
+    levels = {r["level"]: r["n"] for r in grouped.groupBy("level").agg(F.sum(F.size("edges")).alias("n")).collect()}
+    p = p.withColumn("_level", F.explode(F.array(*(F.lit(v) for v in sorted(levels)))) if len(levels) > 1 else F.lit(next(iter(levels), 0)))
+    p = p.withColumns({"_strip": F.floor(F.col("_y") / strip), "_column": F.floor(F.col("_x") / (F.lit(strip) * F.pow(F.lit(2.0), F.col("_level"))))})
+    c = grouped.select(F.col("strip").alias("_strip"), F.col("level").alias("_level"), F.col("column").alias("_column"), F.col("region").alias("_region"), "west", "east", "south", "north", F.col("edges").alias("_edges"))
     c = c.withColumnsRenamed({n: f"_{n}" for n in ("west", "east", "south", "north")})
-    c = F.broadcast(c) if small(c, broadcast_cells) else c.hint("shuffle_hash")
+    c = F.broadcast(c) if sum(levels.values()) <= broadcast_edges else c.hint("shuffle_hash")
     X, Y = F.col("_x"), F.col("_y")
     near = (F.col("_west") - eps <= X) & (X <= F.col("_east") + eps) & (F.col("_south") - eps <= Y) & (Y <= F.col("_north") + eps)
-    j = p.join(c, ["_strip", "_column"]).where(near)
+    j = p.join(c, ["_strip", "_level", "_column"]).where(near)
 
     def cross_x(e: Column) -> Column:  # where the line of latitude Y meets the edge
         arc = e["x1"] + e["side"] * F.sqrt(F.greatest(e["x2"] * e["x2"] - (Y - e["y1"]) * (Y - e["y1"]), F.lit(0.0)))

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from terrane.operators.assign import polygon_pairs
-from terrane.operators.regions import circle_edges, points_in_regions, polygon_edges
+from terrane.operators.regions import box_edges, cells, circle_edges, points_in_regions, polygon_edges
 
 P = "id long, x double, y double, region string"
 
@@ -24,7 +24,7 @@ def test_circles_against_distance(spark):
     pts = [(i, rnd.uniform(-5000, 5000), rnd.uniform(-5000, 5000), "") for i in range(800)]
     want = {(p[0], c[0]) for p in pts for c in circles if c[3] and c[3] == c[3] and math.hypot(p[1] - c[1], p[2] - c[2]) < c[3]}
     for limit in (10**6, 0):  # broadcast and shuffled
-        got = {(r["id"], r["region"]) for r in _inside(spark, pts, _circles(spark, circles), broadcast_cells=limit).where("not on_boundary").collect()}
+        got = {(r["id"], r["region"]) for r in _inside(spark, pts, _circles(spark, circles), broadcast_edges=limit).where("not on_boundary").collect()}
         assert got == want
 
 
@@ -63,3 +63,22 @@ def test_polygon_distance_near_a_circle(spark):
     want = {i: 900 - math.hypot(x, y) for i, x, y in pts if abs(900 - math.hypot(x, y)) < 699}
     got = {r["id"]: r["d_signed"] for r in rows}
     assert set(want) <= set(got) and all(abs(got[i] - d) < 0.1 for i, d in want.items())
+
+
+def test_large_and_small_regions_together(spark):
+    """Columns of a large region are wide, so that its edges are copied a bounded number of times; results stay exact."""
+    circles = [("large", 0.0, 0.0, 60_000.0, 1.0), ("small", 1000.0, 1000.0, 700.0, 1.0), ("middle", -5000.0, 0.0, 9000.0, 1.0)]
+    edges = _circles(spark, circles)
+    per = {r["region"]: r["n"] for r in cells(edges, 500.0).groupBy("region").agg(F.countDistinct("column").alias("n")).collect()}
+    assert max(per.values()) <= 18 and per["small"] <= 4
+    rnd = random.Random(3)
+    pts = [(i, rnd.uniform(-70_000, 70_000), rnd.uniform(-70_000, 70_000), "") for i in range(400)] + [(1000 + i, rnd.uniform(-20_000, 20_000), rnd.uniform(-20_000, 20_000), "") for i in range(400)] + [(2000 + i, rnd.uniform(0, 2000), rnd.uniform(0, 2000), "") for i in range(100)]
+    want = {(p[0], c[0]) for p in pts for c in circles if math.hypot(p[1] - c[1], p[2] - c[2]) < c[3]}
+    for limit in (10**6, 0):
+        assert {(r["id"], r["region"]) for r in _inside(spark, pts, edges, broadcast_edges=limit).collect()} == want
+
+
+def test_boxes_keep_their_edges(spark):
+    boxes = spark.createDataFrame([("a", 0, 0, 10, 5), ("b", 3, 3, 3, 9), ("c", None, 0, 1, 1)], "k string, w int, s int, e int, n int")
+    pts = [(1, 0.0, 0.0, ""), (2, 10.0, 5.0, ""), (3, 10.0, 2.0, ""), (4, 4.0, 5.0, ""), (5, 10.5, 2.0, ""), (6, 5.0, 2.0, ""), (7, 5.0, 5.5, "")]
+    assert {(r["id"], r["region"]) for r in _inside(spark, pts, box_edges(boxes, "k", "w", "s", "e", "n")).collect()} == {(i, "a") for i in (1, 2, 3, 4, 6)}
