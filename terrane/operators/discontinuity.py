@@ -138,6 +138,45 @@ def moments(df: DataFrame, specs: list[Spec]) -> DataFrame:
     return rows.groupBy("spec", "cluster", "effects", "inside").agg(F.count("*").alias("n"), *sums)
 
 
+class Cells:
+    """Cell moments at the driver: arrays by column, with clusters and effects as codes in the order of their names."""
+
+    def __init__(self, columns: dict[str, np.ndarray], names: dict[str, np.ndarray]):
+        self.columns, self.names = columns, names
+
+    @classmethod
+    def collect(cls, df: DataFrame, specs: list[Spec]) -> Cells:
+        """As many cells as there are combinations of the clusters and the effects' levels, whatever the rows."""
+        m = moments(df, specs)
+        effects = [f"e{i}" for i in range(max(len(s.fe) for s in specs))]
+        rest = [c for c in m.columns if c not in ("cluster", "effects")]
+        t = m.select(*rest, "cluster", *(F.get("effects", F.lit(i)).alias(e) for i, e in enumerate(effects))).toArrow()
+        columns, names = {c: t[c].to_numpy() for c in rest}, {}
+        for c in ("cluster", *effects):
+            coded = t[c].fill_null("").combine_chunks().dictionary_encode()
+            words = np.array(coded.dictionary.to_pylist(), dtype=str)
+            order = np.argsort(words)
+            place = np.empty(len(words), int)
+            place[order] = np.arange(len(words))
+            columns[c], names[c] = place[coded.indices.to_numpy()], words[order]
+        return cls(columns, names)
+
+    def __getitem__(self, column: str) -> np.ndarray:
+        return self.columns[column]
+
+    def __len__(self) -> int:
+        return len(self.columns["n"])
+
+    def at(self, rows: np.ndarray) -> Cells:
+        return Cells({c: v[rows] for c, v in self.columns.items()}, self.names)
+
+    def split(self, column: str) -> dict:
+        """The cells of each value of a coded column by its name."""
+        order = np.argsort(self[column], kind="stable")
+        codes, first = np.unique(self[column][order], return_index=True)
+        return {str(self.names[column][c]): self.at(rows) for c, rows in zip(codes, np.split(order, first[1:]))}
+
+
 class System:
     """The weighted normal equations of one specification, in one block per cluster.
 
@@ -145,14 +184,15 @@ class System:
     in the order of their names; then own slopes of each cluster but the first.
     """
 
-    def __init__(self, cells, s: Spec, least_clusters: int = 2):
-        """``cells``: pandas frame of ``moments`` for this specification."""
+    def __init__(self, cells: Cells, s: Spec, least_clusters: int = 2):
+        """``cells``: those of this specification."""
         if not len(cells):
             raise CannotFit("the window holds no rows")
-        i = cells["inside"].to_numpy(float)
+        i = cells["inside"].astype(float)
         if i.min() == i.max():
             raise CannotFit(f"all rows of the window lie {'inside' if i[0] else 'outside'}")
-        self.names, code = np.unique(cells["cluster"].to_numpy(str), return_inverse=True)
+        there, code = np.unique(cells["cluster"], return_inverse=True)
+        self.names = cells.names["cluster"][there]
         if len(self.names) < least_clusters:
             raise CannotFit(f"{len(self.names)} cluster where {least_clusters} are needed")
         self.spec, n, p = s, len(cells), s.poly
@@ -162,10 +202,9 @@ class System:
             powers += [k, k]
             coefs += [np.ones(n), i]
         width, self.level = 2 + 2 * p, {}
-        levels = np.array(cells["effects"].tolist(), dtype=object).reshape(n, len(s.fe))
         for j, f in enumerate(s.fe):
-            names, at = np.unique(levels[:, j].astype(str), return_inverse=True)
-            self.level |= {(f, v): width + m - 1 for m, v in enumerate(names) if m}
+            names, at = np.unique(cells[f"e{j}"], return_inverse=True)
+            self.level |= {(f, str(cells.names[f"e{j}"][v])): width + m - 1 for m, v in enumerate(names) if m}
             cols.append(np.where(at > 0, width + at - 1, _CONST))
             powers.append(0)
             coefs.append((at > 0).astype(float))
@@ -176,21 +215,20 @@ class System:
             coefs.append(value * (code > 0))
             width += len(self.names) - 1
         self.width = width
-        S = [cells[f"s{k}"].to_numpy(float) for k in range(2 * p + 1)]
-        T = [cells[f"t{k}"].to_numpy(float) for k in range(p + 1)]
-        self.parts = []  # per cluster: the columns that occur in it, their cross-products, those with the outcome
-        for g in range(len(self.names)):
-            rows = np.flatnonzero(code == g)
-            used, local = np.unique(np.concatenate([c[rows] for c in cols]), return_inverse=True)
-            local = local.reshape(len(cols), len(rows))
-            xx, xy = np.zeros((len(used), len(used))), np.zeros(len(used))
-            for a in range(len(cols)):
-                ca = coefs[a][rows]
-                np.add.at(xy, local[a], ca * T[powers[a]][rows])
-                for b in range(len(cols)):
-                    np.add.at(xx, (local[a], local[b]), ca * coefs[b][rows] * S[powers[a] + powers[b]][rows])
-            self.parts.append((used, xx, xy))
-        count = cells["n"].to_numpy(float)
+        S, T = [cells[f"s{k}"] for k in range(2 * p + 1)], [cells[f"t{k}"] for k in range(p + 1)]
+        # per cluster: the columns that occur in it, their cross-products, those with the outcome; summed for all at once
+        key, at = np.unique(np.concatenate([code * width + c for c in cols]), return_inverse=True)
+        at = at.reshape(len(cols), n)
+        first = np.searchsorted(key, np.arange(len(self.names) + 1) * width)
+        used = np.diff(first)
+        block = np.r_[0, np.cumsum(used**2)]
+        xy, xx, local = np.zeros(len(key)), np.zeros(block[-1]), at - first[code]
+        for a in range(len(cols)):
+            xy += np.bincount(at[a], coefs[a] * T[powers[a]], len(key))
+            for b in range(len(cols)):
+                xx += np.bincount(block[code] + local[a] * used[code] + local[b], coefs[a] * coefs[b] * S[powers[a] + powers[b]], block[-1])
+        self.parts = [(key[i:j] % width, xx[u:v].reshape(j - i, j - i), xy[i:j]) for i, j, u, v in zip(first, first[1:], block, block[1:])]
+        count = cells["n"].astype(float)
         self.rows = np.stack([np.bincount(code, count * i, len(self.names)), np.bincount(code, count * (1 - i), len(self.names))]).astype(int)
         self.M, self.v = np.zeros((width, width)), np.zeros(width)
         for used, xx, xy in self.parts:
@@ -251,16 +289,16 @@ class System:
 
 
 def systems(df: DataFrame, specs: list[Spec], least: int = 2) -> list[System | CannotFit]:
-    """The cells that reach the driver are bounded by the clusters and the effects' levels, not by the rows."""
+    """The normal equations of every specification from one scan, or why there are none."""
     lacking = [sorted(s.columns() - set(df.columns)) for s in specs]
     usable = [i for i, miss in enumerate(lacking) if not miss]
-    cells = moments(df, [specs[i] for i in usable]).toPandas() if usable else None
+    cells = Cells.collect(df, [specs[i] for i in usable]) if usable else None
     out: list[System | CannotFit] = []
     for i, s in enumerate(specs):
         try:
             if lacking[i]:
                 raise CannotFit(f"no column {', '.join(lacking[i])}")
-            out.append(System(cells[cells["spec"] == usable.index(i)].reset_index(drop=True), s, least))
+            out.append(System(cells.at(np.flatnonzero(cells["spec"] == usable.index(i))), s, least))
         except CannotFit as e:
             out.append(e)
     return out
@@ -323,7 +361,7 @@ def by_group(df: DataFrame, group: str, s: Spec) -> DataFrame:
     plain = replace(s, cluster=group)
     lines, heads, out = [], {}, []
     names = [r[0] for r in df.where(C(group).isNotNull()).select(C(group).cast("string")).distinct().collect()]
-    cells = {g: c.reset_index(drop=True) for g, c in moments(df, [plain]).toPandas().groupby("cluster")}
+    cells = Cells.collect(df, [plain]).split("cluster")
     for g in names:
         try:
             if g not in cells:
@@ -334,10 +372,11 @@ def by_group(df: DataFrame, group: str, s: Spec) -> DataFrame:
             continue
         inv, beta, K = system.solved()
         heads[g] = (float(beta[_INSIDE]), K)
-        for inside, effects in {(bool(i), tuple(e)) for i, e in zip(cells[g]["inside"], cells[g]["effects"])}:
+        own = [cells[g].names[f"e{i}"][cells[g][f"e{i}"]] for i in range(len(s.fe))]
+        for inside, *effects in {(bool(i), *map(str, e)) for i, *e in zip(cells[g]["inside"], *own)}:
             extra = [system.level[(f, v)] for f, v in zip(s.fe, effects) if (f, v) in system.level]
             line = lambda b: [float(b[_CONST] + inside * b[_INSIDE] + b[extra].sum()), *(float(b[2 * k] + inside * b[2 * k + 1]) for k in range(1, s.poly + 1))]  # noqa: E731,B023
-            lines.append((g, inside, list(effects), line(beta), line(inv[_INSIDE])))
+            lines.append((g, inside, effects, line(beta), line(inv[_INSIDE])))
     if lines:
         coef = spark.createDataFrame(lines, "_g string, _i boolean, _fe array<string>, _b array<double>, _m array<double>")
         rows = window(df, s).withColumns({"_g": C(group).cast("string"), "_i": C("_x") > 0, "_fe": _effects(s), "_xs": C("_x") / s.h})

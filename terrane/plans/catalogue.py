@@ -373,13 +373,13 @@ def rd_main(spark: SparkSession, d: str) -> DataFrame:
 
 def rd_sweep(spark: SparkSession, d: str) -> DataFrame:
     """A fit per bandwidth; one that cannot run is a row without figures and with the reason as its note."""
-    return rd.jump_table(spark, rd.sweep(_sample(spark, d), _MAIN, GRID))
+    return rd.jump_table(spark, rd.sweep(_kept(spark, d), _MAIN, GRID))
 
 
 def rd_forms(spark: SparkSession, d: str) -> DataFrame:
     """Quadratic form, own slopes, and further effects."""
     specs = [replace(_MAIN, poly=2, label="quadratic"), replace(_MAIN, slopes=True, label="own slopes"), replace(_MAIN, fe=(*_MAIN.fe, "tenure", "new_build"), label="more effects")]
-    return rd.jump_table(spark, rd.fits(_sample(spark, d), specs))
+    return rd.jump_table(spark, rd.fits(_kept(spark, d), specs))
 
 
 def rd_leave_one_out(spark: SparkSession, d: str) -> DataFrame:
@@ -436,9 +436,9 @@ def balance_jumps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def robustness(spark: SparkSession, d: str) -> DataFrame:
-    s = _sample(spark, d)
+    s = _kept(spark, d)
     known = asof.as_of(s, "boundary_id", "date", {"radius": _cut_offs(spark, d)}).withColumn("d_year", C("d_signed") - C("radius_m") + C("radius"))
-    return battery.run_all(cut(known), _MAIN, halves=cut(_halves(spark, d)))
+    return battery.run_all(cut(known), _MAIN, halves=cut(_halves(spark, d, s)))
 
 
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -460,9 +460,9 @@ def _grade_changes(spark: SparkSession, d: str) -> DataFrame:
     return was.where("in_force is not null and abs(in_force.value - grade) >= 1").select("boundary_id", "publication_date", name.alias("name")).distinct()
 
 
-def _halves(spark: SparkSession, d: str) -> DataFrame:
+def _halves(spark: SparkSession, d: str, sample: DataFrame | None = None) -> DataFrame:
     """Sales before and after each change of grade that leaves two years of the window on either side."""
-    return battery.timing_halves(_sample(spark, d), _grade_changes(spark, d), "boundary_id", "publication_date", "name")
+    return battery.timing_halves(_sample(spark, d) if sample is None else sample, _grade_changes(spark, d), "boundary_id", "publication_date", "name")
 
 
 def timing(spark: SparkSession, d: str) -> DataFrame:
