@@ -274,10 +274,11 @@ def train(docs: DataFrame, reviews: DataFrame, toxic_docs: int = TOXIC_DOCS, cle
     return m
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: list[str] = ()) -> DataFrame:
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: list[str] = (), unseen_only: bool = False) -> DataFrame:
     """(key, carried columns, score, toxic) of every row: the score of its most toxic passage, -Infinity for a text without words
     (NULL, empty, blank). Whole texts are read, in one pass without a shuffle; repeated rows stay. A document that the
-    model was fitted on gets the score of the fold that had not seen it, so that its review is not merely remembered."""
+    model was fitted on has two scores, that of the model, which knows its review, and that of the fold that had not seen
+    it, which a reviewer's error cannot sway; the higher counts. ``unseen_only`` takes the second alone, for measuring."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(cloudpickle.dumps(model))  # bounded by the sample that was fitted
     schema = docs.select(key, *carry).schema.add("score", "double").add("toxic", "boolean")
@@ -297,7 +298,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             out = _score_docs(m, Grams.of(flat, first), doc_of[flat != _END], len(ts)) if len(flat) else np.full(len(ts), -np.inf)
             if m.seen:
                 for i, k in enumerate(b.column(0).to_pylist()):
-                    out[i] = m.seen.get(k, out[i])
+                    if k in m.seen:
+                        out[i] = m.seen[k] if unseen_only else max(out[i], m.seen[k])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out), pa.array(out > m.threshold)], names=[key, *carry, "score", "toxic"])
 
     return docs.select(key, *carry, tokens(F.col(text)).alias("t")).mapInArrow(run, schema)

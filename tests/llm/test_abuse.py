@@ -41,14 +41,15 @@ def test_held_out_documents(spark, corpus):
     assert len(got) == 160 and hit / sum(truth.values()) > 0.95 and hit / max(1, sum(got.values())) > 0.95
 
 
-def test_fitted_documents_are_judged_by_models_that_lack_them(spark, corpus):
+def test_fitted_documents_have_two_scores(spark, corpus):
     docs, reviews = corpus
     m = A.train(docs, reviews)
-    got = {r["doc_id"]: r["score"] for r in A.score(docs.where("doc_id < 240"), m).collect()}
+    got = {r["doc_id"]: r["score"] for r in A.score(docs.where("doc_id < 240"), m, unseen_only=True).collect()}
     assert len(m.seen) == 240 and got == {k: m.seen[k] for k in got}
+    both = {r["doc_id"]: r["score"] for r in A.score(docs.where("doc_id < 240"), m).collect()}
     m.seen = None  # the fitted model itself remembers
     own = {r["doc_id"]: r["score"] for r in A.score(docs.where("doc_id < 240"), m).collect()}
-    assert any(own[k] != got[k] for k in own)
+    assert any(own[k] != got[k] for k in own) and both == {k: max(own[k], got[k]) for k in own}
 
 
 def test_edge_rows(spark, corpus):
