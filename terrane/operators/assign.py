@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.operators import regions
+from terrane.operators.quality import assert_no_orphans
 from terrane.session import broadcast_if_small, cut
 
 C = F.col
@@ -107,6 +108,31 @@ def nearest(points: DataFrame, x: str, y: str, targets: DataFrame, *, target: st
         p, size = left, size * 4
 
 
+def nearest_outside(points: DataFrame, targets: DataFrame, lines: DataFrame, *, key: str, x: str, y: str, k: int, cell: float = 2000.0) -> DataFrame:
+    """The ``k`` nearest targets of each point that aren't of its own line (node, ancestor): (key, target, distance,
+    rank). Both tables have ``key``, ``x`` and ``y``. As many more are looked for as the longest line has members."""
+    longest = lines.groupBy("node").count().agg(F.coalesce(F.max("count"), F.lit(0))).collect()[0][0]
+    near = nearest(points, x, y, targets, target=key, tx=x, ty=y, k=k + longest, cell=cell, other_than=key)
+    out = near.join(lines.select(C("node").alias(key), C("ancestor").alias("target")), [key, "target"], "left_anti").drop("rank")
+    w = Window.partitionBy(key).orderBy("distance", "target")
+    return out.withColumn("rank", F.row_number().over(w)).where(C("rank") <= k).select(key, "target", "distance", "rank")
+
+
+def build_areas(rows: DataFrame, places: DataFrame, *, key: str, year: str, radius: str, route: str) -> DataFrame:
+    """One area per key from its yearly rows: route, place, ``radius`` (median over the years), ``radius_by_year``,
+    ``n_years`` and ``cv`` (sample deviation over mean, NULL for one year). Of several rows of a year the largest
+    radius counts. A key with two routes, or without a place, is an error; NULL radii leave a year without a figure.
+    """
+    mixed = rows.groupBy(key).agg(F.countDistinct(route).alias("n")).where("n > 1").limit(5).collect()
+    if mixed:
+        raise ValueError(f"several routes for {[r[key] for r in mixed]}")
+    assert_no_orphans(rows, places, [key])
+    yearly = rows.groupBy(key, year).agg(F.max(radius).alias("_r"), F.min(route).alias("route"))
+    kept = F.filter(F.collect_list(F.struct(C(year).alias("key"), C("_r").alias("value"))), lambda e: e["key"].isNotNull())
+    per = yearly.groupBy(key).agg(F.min("route").alias("route"), F.median("_r").alias("radius"), F.map_from_entries(kept).alias("radius_by_year"), F.count(year).alias("n_years"), (F.stddev_samp("_r") / F.avg("_r")).alias("cv"))
+    return per.join(places, key)
+
+
 def ring_distance(x: Column, y: Column, edges: Column) -> Column:
     """Least distance from a point to an array of straight edges (x1, y1, x2, y2)."""
     def one(e: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,9 @@ from terrane.operators import asof, assign, battery, changes, density, quality,
 from terrane.operators import discontinuity as rd
 from terrane.plans.problems import _all_links
 from terrane.plans.sql import SQL  # noqa: F401
-from terrane.session import broadcast_if_small, cut
+from terrane.session import broadcast_if_small, cut, ensure_checkpoint_dir
 from terrane.sources.tables import table
+from terrane.streaming import ingest
 
 C = F.col
 REACH, H = 750.0, 400.0
@@ -317,6 +319,22 @@ def label_numbers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "per_boundary").select("boundary_id", F.nullif(F.regexp_extract("label", r"(\d{3,})", 1), F.lit("")).alias("number"))
 
 
+def built_areas(spark: SparkSession, d: str) -> DataFrame:
+    """Boundaries built from the verified rows of the provenance and the places of the boundaries' own table."""
+    rows = table(spark, d, "provenance").where("status = 'verified' and cutoff_m is not null")
+    known = table(spark, d, "boundary").select("urn", "easting", "northing")
+    areas = assign.build_areas(rows.join(known.select("urn"), "urn", "left_semi"), known, key="urn", year="entry_year", radius="cutoff_m", route="route")
+    return areas.select("urn", "route", "easting", "northing", R(C("radius"), 4).alias("radius_m"), C("n_years"), R(C("cv"), 6).alias("cv"))
+
+
+def nearest_outside_line(spark: SparkSession, d: str) -> DataFrame:
+    """The three nearest schools of each school that are not of its own line of predecessors."""
+    b = table(spark, d, "boundary").select("urn", "easting", "northing")
+    lines = changes.with_own(changes.predecessors(_all_links(spark, d)), b.select("urn")).join(b.select(C("urn").alias("node")), "node", "left_semi")
+    n = assign.nearest_outside(b, b, lines, key="urn", x="easting", y="northing", k=3, cell=8000.0)
+    return n.select("urn", C("target").alias("neighbour"), C("rank").cast("long").alias("place"), R(C("distance"), 4).alias("distance_m"))
+
+
 def screen_failures(spark: SparkSession, d: str) -> DataFrame:
     rules = [("circle", C("radius_m").isNotNull()), ("years", C("n_years") >= 8), ("spread", C("cv") <= 0.2)]
     return quality.failures(table(spark, d, "boundary"), rules).select("urn", "first_fail", "all_fails")
@@ -529,6 +547,15 @@ def content_digest(spark: SparkSession, d: str) -> DataFrame:
     return quality.content_digest(table(spark, d, "sales"))
 
 
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Sales per 30 days as a stream gives them: windows that the watermark, 60 days behind the latest sale, has closed.
+    The stream takes what is there, with its state and output in the shared folder, and stops."""
+    at = f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4()}"
+    counts = ingest.windowed_counts(ingest.stream_table(spark, d, "sales", files_per_trigger=100_000), "date")
+    ingest.drain(counts, f"{at}/out", f"{at}/state")
+    return spark.read.schema(counts.schema).parquet(f"{at}/out").select(C("window.start").cast("date").alias("first_day"), C("n").alias("n_sales"), C("total").cast("long").alias("total"))
+
+
 def stream_first_delivery(spark: SparkSession, d: str) -> DataFrame:
     """The batch counterpart of the streaming ingest: the first delivery of each sale, by loading time."""
     p = table(spark, d, "pp_geo")
@@ -541,8 +568,8 @@ QUERIES = {
     for f in (
         step_log, geo_steps, duplicate_postcodes, postcode_forms, match_audit, region_box, quarter_counts, indicator_sums, strict_distance, link_years, event_props, candidate_pairs, side_counts,
         assign_nearest, assign_compatible, assign_in_place, near_counts, active_from, share_within, polygon_distance, nearest_centre, nearest_three, yearly_radius, events_union, events_deduped, grade_history,
-        lineage, lineage_grades, line_changes, line_starts, cutoff_stability, provenance_errors, first_errors, figures_rechecked, screen_table, results_with_regions, result_ranges, label_numbers, screen_failures, first_fails, rd_sides, rd_by_region, rd_plain_sweep, rd_plain_donut, rd_plain_placebo, cell_moments, rd_main, rd_sweep, rd_forms,
+        lineage, lineage_grades, line_changes, line_starts, cutoff_stability, provenance_errors, first_errors, figures_rechecked, screen_table, results_with_regions, result_ranges, label_numbers, built_areas, nearest_outside_line, screen_failures, first_fails, rd_sides, rd_by_region, rd_plain_sweep, rd_plain_donut, rd_plain_placebo, cell_moments, rd_main, rd_sweep, rd_forms,
         rd_leave_one_out, rd_per_region, rd_timing, rd_octants, octant_counts, balance_jumps, robustness, verdicts, timing, density_histogram, density_test, binned_means, residual_bins, side_lines, plain_side_lines, median_outside, pivot_sides,
-        balance, regions_without_sales, content_digest, stream_first_delivery,
+        balance, regions_without_sales, content_digest, stream_windows, stream_first_delivery,
     )
 }

@@ -185,6 +185,16 @@ SELECT g.bin, (g.bin + 0.5::DOUBLE) * 10 AS centre, coalesce(n, 0) AS n FROM g L
 WITH {ASSIGNED} SELECT boundary_id, d > 0 AS is_inside, round(avg((property_type = 'F')::INT::DOUBLE), 6) AS mean_is_flat, round(avg((property_type = 'D')::INT::DOUBLE), 6) AS mean_is_detached, round(avg((tenure = 'L')::INT::DOUBLE), 6) AS mean_is_leasehold,
   round(avg((new_build = 'Y')::INT::DOUBLE), 6) AS mean_is_new_build FROM sample WHERE abs(d) < 400 GROUP BY 1, 2""",
     "regions_without_sales": f"WITH {PAIRS} SELECT urn AS boundary_id FROM boundary WHERE urn NOT IN (SELECT boundary_id FROM pairs)",
+    "stream_windows": """
+WITH w AS (SELECT epoch_ms(0)::DATE + (floor((date - DATE '1970-01-01') / 30.0::DOUBLE) * 30)::INT AS first_day, price FROM sales WHERE date IS NOT NULL)
+SELECT first_day::DATE AS first_day, count(*) AS n_sales, sum(price)::BIGINT AS total FROM w WHERE first_day + 30 <= (SELECT max(date) - 60 FROM sales) GROUP BY 1""",
+    "built_areas": """
+WITH y AS (SELECT urn, entry_year, max(cutoff_m) r, min(route) route FROM provenance WHERE status = 'verified' AND cutoff_m IS NOT NULL AND urn IN (SELECT urn FROM boundary) GROUP BY 1, 2),
+a AS (SELECT urn, min(route) route, median(r) m, count(entry_year) n, stddev_samp(r) / avg(r) cv FROM y GROUP BY 1)
+SELECT a.urn, a.route, b.easting, b.northing, round(m, 4) AS radius_m, n AS n_years, round(a.cv, 6) AS cv FROM a JOIN boundary b ON b.urn = a.urn""",
+    "nearest_outside_line": f"""{LINES}, {_OWN_LINES},
+j AS (SELECT a.urn, b.urn AS neighbour, sqrt((a.easting - b.easting) * (a.easting - b.easting) + (a.northing - b.northing) * (a.northing - b.northing)) r FROM boundary a, boundary b WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.node = a.urn AND l.ancestor = b.urn))
+SELECT urn, neighbour, place, round(r, 4) AS distance_m FROM (SELECT *, row_number() OVER (PARTITION BY urn ORDER BY r, neighbour) place FROM j) WHERE place <= 3""",
     "timing": f"""{LINES}, {_CHANGES}, {_BY_DAY},
 h AS (SELECT l.node, l.steps, g.t, g.grade FROM l JOIN g ON g.urn = l.ancestor),
 c AS (SELECT * FROM (SELECT DISTINCT node, publication_date t, grade, (SELECT h.grade FROM h WHERE h.node = ch.node AND h.t < ch.publication_date::DATE ORDER BY h.t DESC, h.steps, h.grade DESC LIMIT 1) eve FROM ch WHERE publication_date >= TIMESTAMP '2017-01-01' AND publication_date <= TIMESTAMP '2023-12-31') WHERE eve IS NOT NULL AND abs(eve - grade) >= 1),

@@ -10,7 +10,11 @@ def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger:
     """Files of a Parquet table as they arrive, with the schema of those there."""
     path = f"{folder}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if jvm.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jvm).isFile():  # a stream watches a folder
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return reader.parquet(path)
 
 
 def without_repeats(stream: DataFrame, key: str, at: str, delay: str = "60 days") -> DataFrame:

@@ -196,6 +196,21 @@ def test_circle_distance_and_nearest(spark):
         assert [got[(x, y, 1)], got[(x, y, 2)]] == [order[0][0], order[1][0]]
 
 
+def test_nearest_outside_the_line_and_built_areas(spark):
+    b = spark.createDataFrame([("a", 0.0, 0.0), ("b", 1.0, 0.0), ("c", 2.0, 0.0), ("d", 9.0, 0.0)], "k string, x double, y double")
+    lines = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "c"), ("d", "d")], "node string, ancestor string")
+    got = {(r["k"], r["rank"]): r["target"] for r in assign.nearest_outside(b, b, lines, key="k", x="x", y="y", k=2, cell=1.0).collect()}
+    assert got == {("a", 1): "c", ("a", 2): "d", ("b", 1): "a", ("b", 2): "c", ("c", 1): "b", ("c", 2): "a", ("d", 1): "c", ("d", 2): "b"}
+    rows = spark.createDataFrame([("a", 2020, 5.0, "r"), ("a", 2020, 6.0, "r"), ("a", 2021, 8.0, "r"), ("b", 2020, None, "r")], "k string, y int, m double, route string")
+    kw = dict(key="k", year="y", radius="m", route="route")
+    got = {r["k"]: r for r in assign.build_areas(rows, b, **{**kw}).collect()}
+    assert (got["a"]["radius"], got["a"]["n_years"], got["a"]["radius_by_year"], got["a"]["x"]) == (7.0, 2, {2020: 6.0, 2021: 8.0}, 0.0) and got["a"]["cv"] == pytest.approx(math.sqrt(2) / 7)
+    assert got["b"]["radius"] is None and got["b"]["radius_by_year"] == {2020: None}
+    for bad in (("a", 2022, 1.0, "other"), ("zz", 2022, 1.0, "r")):
+        with pytest.raises(ValueError):
+            assign.build_areas(rows.unionByName(spark.createDataFrame([bad], rows.schema)), b, **kw)
+
+
 def test_events(spark):
     S = "urn string, pub date, grade int, num string, start date, role string, source string, event_id long"
     import datetime as dt
