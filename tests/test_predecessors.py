@@ -1,4 +1,4 @@
-"""Predecessors against a breadth-first walk with a visited set, after the reference's rule."""
+"""Predecessors against a breadth-first walk with a visited set, each predecessor once with the least steps."""
 
 import random
 from collections import defaultdict
