@@ -212,13 +212,14 @@ def plan(counts: dict[int, int], cap: int = CAPACITY, nodes: int | None = None,
             shape, times = frame[2]
             change(shape, times)
             used, waste, frame[2] = used - times, waste - (cap - sum(shape)) * times, None
-        filling = next(frame[1], None)
+        spare = (best_n - 1) * cap - volume - waste  # below 0 where the incumbent has improved since the node was opened
+        filling = next(frame[1], None) if spare >= 0 else None
         if filling is None:
             frames.pop()
             continue
         shape = (frame[0], *filling)
         times = min(left[s] // shape.count(s) for s in set(shape))
-        loss, spare = cap - sum(shape), (best_n - 1) * cap - volume - waste
+        loss = cap - sum(shape)
         if loss * times > spare:
             times = spare // loss
             if times < 1:

@@ -55,6 +55,14 @@ def test_large_plans_are_near_the_bound(seed):
     assert used <= bfd and used <= 1.005 * K.lower_bound(dict(counts), 2048) + 1
 
 
+def test_incumbent_improved_below_a_wasteful_node():
+    """A better plan found deeper leaves an open node more waste than it can afford, and its next filling wastes none."""
+    counts = {20: 2, 19: 1, 18: 2, 17: 2, 16: 2, 14: 2, 13: 3, 10: 3, 9: 5, 8: 12, 7: 4, 6: 6, 5: 3, 4: 2, 3: 1, 2: 2, 1: 1}
+    shapes = K.plan(counts, 20)
+    assert Counter(s for shape, n in shapes for s in shape * n) == counts and all(sum(shape) <= 20 for shape, _ in shapes)
+    assert K.lower_bound(counts, 20) <= sum(n for _, n in shapes) < sum(n for _, n in K.best_fit(counts, 20))
+
+
 def test_dominance():
     assert K._fits((3, 2), (5,)) and K._fits((3, 2, 2), (5, 2)) and not K._fits((4, 4), (7, 1))
     assert list(K.completions({5: 1, 3: 1, 2: 1}, 5)) == [(5,)]
